@@ -40,10 +40,15 @@ def blank_words(text: Column) -> Column:
 
 
 def shingles(words: Column, n: int = 5) -> Column:
-    """Distinct n-word shingles of an array of words; fewer words are one shingle, none give none."""
-    count = F.size(words)
-    many = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), count - (n - 1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(count == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(many))
+    """Distinct n-word shingles of an array of words; fewer words are one shingle, none give none.
+
+    Shifted slices are zipped, so the array is evaluated n times a row and never once for each shingle."""
+    many = F.size(words) - (n - 1)
+    joined = F.slice(words, 1, F.greatest(many, F.lit(1)))
+    for i in range(2, n + 1):
+        joined = F.zip_with(joined, F.slice(words, i, F.greatest(many, F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    few = F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.array(F.array_join(words, " ")))
+    return F.when(many > 0, F.array_distinct(joined)).otherwise(few)
 
 
 def words(text: Column) -> Column:

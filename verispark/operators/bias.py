@@ -27,23 +27,39 @@ def mentions(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
     """One row for each mention: id, dimension, grp, pos, feeling (of up to 12 words on each side).
 
     A word counts for a group once, whether as a listed word or by a beginning; a phrase counts once a chunk, where it first occurs.
-    Terms meet words in an equi-join: words whole, beginnings by each of the few lengths that beginnings have."""
+    Words are tested within their array, so only mentions become rows, each with its own context; the lists are fixed data of a few
+    hundred terms and then tell the groups in a broadcast join."""
     rows = chunks.select("id", words(F.col("text")).alias("ws")).filter(F.size("ws") > 0)
-    lengths = [r["n"] for r in lexicon.filter("kind = 'stem'").select(F.length("term").alias("n")).distinct().collect()]  # a few lengths of terms
+    terms = lexicon.filter("kind != 'phrase'").select("kind", "term").distinct().collect()
+    whole = [r["term"] for r in terms if r["kind"] == "word"]
+    stems: dict[int, list[str]] = {}
+    for r in terms:
+        if r["kind"] == "stem":
+            stems.setdefault(len(r["term"]), []).append(r["term"])
+
+    def listed_word(w):
+        test = w.isin(whole) if whole else F.lit(False)
+        for n, ss in sorted(stems.items()):
+            test = test | F.substring(w, 1, n).isin(ss)
+        return test
+
+    def near(pos):
+        low = F.greatest(pos - lexicons.CONTEXT, F.lit(0))
+        return F.slice("ws", low + 1, pos + lexicons.CONTEXT + 1 - low)
+
     single = lexicon.filter("kind != 'phrase'").select("dimension", "grp", F.col("term").alias("key"), (F.col("kind") == "stem").alias("stem"))
-    spots = rows.select("id", "ws", F.posexplode("ws").alias("pos", "w"))
-    keys = F.array(F.struct(F.col("w").alias("key"), F.lit(False).alias("stem")), *[F.struct(F.substring("w", 1, n).alias("key"), F.lit(True).alias("stem")) for n in sorted(lengths)])
-    asked = spots.select("id", "ws", "pos", F.inline(F.array_distinct(F.filter(keys, lambda k: F.length(k["key"]) > 0))))
-    context = F.slice("ws", F.greatest(F.col("pos") - lexicons.CONTEXT, F.lit(0)) + 1, F.col("pos") + lexicons.CONTEXT + 1 - F.greatest(F.col("pos") - lexicons.CONTEXT, F.lit(0)))
-    # the lists are fixed data of a few hundred rows
-    hits = asked.join(F.broadcast(single), ["key", "stem"]).select("id", "dimension", "grp", "pos", context.alias("near")).dropDuplicates(["id", "dimension", "grp", "pos"])
+    spots = F.filter(F.transform("ws", lambda w, i: F.struct(i.alias("pos"), w.alias("w"))), lambda s: listed_word(s["w"]))
+    found = rows.select("id", F.explode(F.transform(spots, lambda s: F.struct(s["pos"].alias("pos"), s["w"].alias("w"), near(s["pos"]).alias("near")))).alias("s")).select("id", "s.*")
+    keys = F.array(F.struct(F.col("w").alias("key"), F.lit(False).alias("stem")), *[F.struct(F.substring("w", 1, n).alias("key"), F.lit(True).alias("stem")) for n in sorted(stems)])
+    asked = found.select("id", "pos", "near", F.inline(F.array_distinct(keys)))
+    hits = asked.join(F.broadcast(single), ["key", "stem"]).select("id", "dimension", "grp", "pos", "near").dropDuplicates(["id", "dimension", "grp", "pos"])
     phrases = lexicon.filter("kind = 'phrase'").select("dimension", "grp", "term").collect()
     if phrases:
         listed = F.array(*[F.struct(F.lit(p["dimension"]).alias("dimension"), F.lit(p["grp"]).alias("grp"), F.lit(p["term"]).alias("term")) for p in phrases])
         joined = rows.withColumn("line", F.array_join("ws", " "))
         found = joined.select("id", "ws", "line", F.explode(F.filter(listed, lambda p: F.contains(F.col("line"), p["term"]))).alias("p"))
         found = found.select("id", "ws", "p.dimension", "p.grp", (F.size(F.split(F.expr("substring(line, 1, instr(line, p.term) - 1)"), " ")) - 1).alias("pos"))
-        hits = hits.unionByName(found.select("id", "dimension", "grp", "pos", context.alias("near")))
+        hits = hits.unionByName(found.select("id", "dimension", "grp", "pos", near(F.col("pos")).alias("near")))
     return hits.select("id", "dimension", "grp", "pos", sentiment(F.col("near"), lexicons.POSITIVE, lexicons.NEGATIVE).alias("feeling"))
 
 

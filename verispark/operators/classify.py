@@ -43,7 +43,11 @@ def indicators(hay: Column, family: str) -> Column:
 def indicator_table(systems: DataFrame) -> DataFrame:
     """name, family, category, hits: one row for each category that matches."""
     hay = systems.select("name", normalised(subject()).alias("hay"))
-    every = F.concat(*[F.transform(indicators(F.col("hay"), f), lambda r, f=f: F.struct(F.lit(f).alias("family"), r["category"].alias("category"), r["hits"].alias("hits"))) for f in V.INDICATORS])
+
+    def of(family: str) -> Column:
+        return F.transform(indicators(F.col("hay"), family), lambda r: F.struct(F.lit(family).alias("family"), r["category"].alias("category"), r["hits"].alias("hits")))
+
+    every = F.concat(*[of(f) for f in V.INDICATORS])
     return hay.select("name", F.explode(every).alias("r")).select("name", "r.*")
 
 

@@ -36,7 +36,7 @@ c AS (SELECT doc_id AS id, length(coalesce(text, '')) AS n, length({BLANK}) AS b
 dup AS (SELECT fp, count(*) AS copies, min(id) AS first_id FROM c WHERE body > 0 GROUP BY fp HAVING count(*) > 1),
 med AS (SELECT median(n) AS m FROM c WHERE n > 0),
 o AS (SELECT id, n, CASE WHEN n < m * 0.25 THEN 'short' WHEN n > m * 4 THEN 'long' END AS kind FROM c, med WHERE n > 0),
-cnt AS (SELECT count(*) AS total, count_if(body = 0) AS empty, count_if(body > 0 AND body < 40) AS near_empty, count_if(dim = 0) AS orphans FROM c),
+cnt AS (SELECT count(*) AS total, count(*) FILTER (WHERE body = 0) AS empty, count(*) FILTER (WHERE body > 0 AND body < 40) AS near_empty, count(*) FILTER (WHERE dim = 0) AS orphans FROM c),
 ds AS (SELECT count(*) AS duplicate_groups, coalesce(sum(copies - 1), 0)::BIGINT AS duplicate_chunks FROM dup)
 """
 SCORED = f"""
@@ -64,7 +64,7 @@ grps AS (SELECT dimension, grp, coalesce(mentions, 0) AS mentions, sentiment FRO
 """
 DIMS = f"""
 {GROUPS},
-d0 AS (SELECT dimension, sum(mentions)::BIGINT AS mentions, count_if(mentions > 0) AS groups, min(CASE WHEN mentions > 0 THEN mentions END) AS lo, max(CASE WHEN mentions > 0 THEN mentions END) AS hi, min(sentiment) AS slo, max(sentiment) AS shi FROM grps GROUP BY dimension),
+d0 AS (SELECT dimension, sum(mentions)::BIGINT AS mentions, count(*) FILTER (WHERE mentions > 0) AS groups, min(CASE WHEN mentions > 0 THEN mentions END) AS lo, max(CASE WHEN mentions > 0 THEN mentions END) AS hi, min(sentiment) AS slo, max(sentiment) AS shi FROM grps GROUP BY dimension),
 d1 AS (SELECT *, mentions >= 20 AND groups >= 2 AS assessed FROM d0),
 d2 AS (SELECT *, CASE WHEN assessed THEN lo / hi END AS ratio, CASE WHEN assessed THEN shi - slo END AS spread FROM d1),
 d3 AS (SELECT *, CASE WHEN ratio >= 1 THEN 100.0 WHEN ratio IS NOT NULL THEN round(least(100.0, ratio / 0.8 * 100), 1) END::DOUBLE AS representation,
@@ -152,7 +152,7 @@ vn(provider, regions, mechanism, certified, optout, enabled, contractual, as_of)
 cr(criterion, grp, weight, critical) AS {values(samples.CRITERIA)}, seed(provider, criterion, status) AS {values(samples.SEEDED)}, given(provider, criterion, status) AS {values(samples.GIVEN)},
 st AS (SELECT vn.provider, cr.*, coalesce(g.status, sd.status, 'unknown') AS status, g.status IS NOT NULL AS verified FROM vn CROSS JOIN cr LEFT JOIN seed sd USING (provider, criterion) LEFT JOIN given g ON g.provider = vn.provider AND g.criterion = cr.criterion),
 pt AS (SELECT *, weight * CASE status WHEN 'met' THEN 1.0 WHEN 'partial' THEN 0.5 WHEN 'unknown' THEN 0.2 ELSE 0 END AS pts FROM st),
-vs AS (SELECT provider, round((sum(pts) / sum(weight) * 100)::DOUBLE, 1) AS score, count_if(status = 'unknown') AS unknown_criteria, bool_or(verified) AS customer_verified FROM pt GROUP BY provider)
+vs AS (SELECT provider, round((sum(pts) / sum(weight) * 100)::DOUBLE, 1) AS score, count(*) FILTER (WHERE status = 'unknown') AS unknown_criteria, bool_or(verified) AS customer_verified FROM pt GROUP BY provider)
 """
 GATE = f"""
 {SCORED}, {DIMS}, {STATUSES},
@@ -202,7 +202,7 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'corpus_volume_change', 'medium', 'flag', NULL FROM dr WHERE volume_ratio > 2 OR volume_ratio < 0.5) WHERE "check" IS NOT NULL""",
     "injection_scan": f"SELECT conv_id, turn, CASE WHEN {_ANY('block')} THEN 'block' WHEN {_ANY('flag')} THEN 'flag' ELSE 'pass' END AS action, ({_HITS})::BIGINT AS matches FROM conversations WHERE NOT regexp_matches(text, {q(BASE64_BLOB)}) AND NOT regexp_matches(text, {q(HEX_BLOB)}) UNION ALL SELECT conv_id, turn, CASE WHEN {_ANY('block')} THEN 'block' WHEN {_ANY('flag')} THEN 'flag' ELSE 'pass' END, ({_HITS})::BIGINT FROM conversations WHERE regexp_matches(text, {q(BASE64_BLOB)}) OR regexp_matches(text, {q(HEX_BLOB)})",
     "output_gate_findings": f"SELECT conv_id, turn, {GATE_LIST} AS findings FROM conversations WHERE role = 'assistant'",
-    "guard_summary": f"WITH {CALLS} SELECT conv_id::VARCHAR AS session_id, count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, sum(prompt_tokens + completion_tokens)::BIGINT AS total_tokens, count_if(blocked) AS blocked_calls, 0::BIGINT AS degraded_calls FROM calls GROUP BY 1",
+    "guard_summary": f"WITH {CALLS} SELECT conv_id::VARCHAR AS session_id, count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, sum(prompt_tokens + completion_tokens)::BIGINT AS total_tokens, count(*) FILTER (WHERE blocked) AS blocked_calls, 0::BIGINT AS degraded_calls FROM calls GROUP BY 1",
     "daily_tokens": f"WITH {CALLS} SELECT DATE '2024-01-01' + (conv_id % 7)::INTEGER AS day, sum(prompt_tokens + completion_tokens)::BIGINT AS tokens FROM calls GROUP BY 1",
     "budget_breaches": f"""WITH {CALLS}, w AS (SELECT conv_id::VARCHAR AS session_id, turn AS call_index, prompt_tokens + completion_tokens AS tk, count(*) OVER o AS calls_before, coalesce(sum(prompt_tokens + completion_tokens) OVER o, 0)::BIGINT AS tokens_before FROM calls WINDOW o AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
         SELECT session_id, call_index, calls_before, tokens_before, CASE WHEN calls_before >= 3 THEN 'max_calls_per_session' WHEN tokens_before + tk > 200 THEN 'max_tokens_per_session' END AS breach FROM w""",
@@ -230,7 +230,7 @@ ORACLES: dict[str, str] = {
         SELECT provider, CASE WHEN len(regions) = 0 THEN 'unknown' WHEN len(rest) = 0 THEN 'compliant' WHEN mechanism IN ('scc', 'bcr') OR len(list_filter(rest, lambda r: r <> 'US')) = 0 THEN 'requires_scc' ELSE 'non_compliant' END AS residency,
                CASE WHEN optout IS NULL THEN 'unknown' WHEN NOT optout THEN 'not_available' WHEN coalesce(enabled AND contractual, FALSE) THEN 'enforced' ELSE 'available_not_evidenced' END AS optout, coalesce(DATE '2026-07-01' - as_of::DATE > 180, TRUE) AS stale FROM l""",
     "gate_outcomes": f"WITH {GATE}, {SYSTEMS.replace('parts', 'parts')} SELECT name, status, status IN ('fail', 'unmeasured', 'error') AS blocking FROM oc UNION ALL SELECT 'classification_certainty.' || name, 'unmeasured', TRUE FROM cls WHERE grey_zone UNION ALL SELECT 'guard', 'skipped', FALSE",
-    "gate_result": f"""WITH {GATE}, al AS (SELECT status FROM oc UNION ALL SELECT 'skipped'), r AS (SELECT count(*) AS checks, count_if(status = 'pass') AS pass, count_if(status = 'fail') AS fail, count_if(status = 'unmeasured') AS unmeasured, count_if(status = 'skipped') AS skipped, 0::BIGINT AS error FROM al)
+    "gate_result": f"""WITH {GATE}, al AS (SELECT status FROM oc UNION ALL SELECT 'skipped'), r AS (SELECT count(*) AS checks, count(*) FILTER (WHERE status = 'pass') AS pass, count(*) FILTER (WHERE status = 'fail') AS fail, count(*) FILTER (WHERE status = 'unmeasured') AS unmeasured, count(*) FILTER (WHERE status = 'skipped') AS skipped, 0::BIGINT AS error FROM al)
         SELECT *, fail + unmeasured AS blocking, (CASE WHEN fail + unmeasured > 0 THEN 1 ELSE 0 END)::BIGINT AS exit_code, fail + unmeasured = 0 AS passed FROM r""",
     "score_bands": f"WITH {GATE} SELECT name, CASE WHEN value IS NULL THEN 'unmeasured' WHEN value >= 85 THEN 'good' WHEN value >= 70 THEN 'watch' WHEN value >= 50 THEN 'poor' ELSE 'critical' END AS band, value >= threshold AS passed FROM sc",
 }
