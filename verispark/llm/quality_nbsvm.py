@@ -97,8 +97,11 @@ def _logistic(margin: np.ndarray, label: np.ndarray, prior: np.ndarray) -> tuple
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, learn: Column, sample: int) -> DataFrame:
     """text, label and weight of at most ``sample`` rows a label; weight undoes the equal share."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)").dropDuplicates(["id"]).filter(learn)
-    w = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    picked = known.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= sample).drop("nth")
+    order = [F.xxhash64("id"), F.col("id")]
+    # first within buckets, so that no task ranks all rows of a label
+    cells = Window.partitionBy("label", "cell").orderBy(*order)
+    few = known.withColumn("cell", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(64))).withColumn("nth", F.row_number().over(cells)).filter(F.col("nth") <= sample)
+    picked = few.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy(*order))).filter(F.col("nth") <= sample).drop("nth", "cell")
     sizes = known.groupBy("label").agg(F.count(F.lit(1)).alias("of"))
     picked = picked.join(F.broadcast(sizes), "label")  # two rows
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "id")  # 2 * sample rows
