@@ -146,7 +146,8 @@ def test_simhash_edges(spark):
     got = simhash.near_duplicates(d)
     assert sorted((r["doc_id"] or -1, r["component_id"]) for r in got.collect()) == [(-1, 5), (5, 5), (5, 5), (9, 9)]
     assert simhash.near_duplicates(d.limit(0)).count() == 0
-    assert set(simhash.one_of_each(d).columns) == set(d.columns)
+    kept = simhash.one_of_each(d, simhash.near_duplicates(d))
+    assert set(kept.columns) == set(d.columns) and sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 5, 5, 9]
 
 
 def test_majority_in_pieces():
@@ -180,3 +181,47 @@ def test_families_of_fingerprints_link_by_any(spark):
             a, b = sorted((find(i), find(c)))
             low[b] = a
     assert many == {i: find(i) for i in ids}
+
+
+def jaccard(a, b, k=5):
+    sh = lambda t: {" ".join(t.split()[i : i + k]) for i in range(max(1, len(t.split()) - k + 1))}
+    return len(sh(a) & sh(b)) / len(sh(a) | sh(b))
+
+
+def test_verified_links_are_similar_and_few_are_missed(spark):
+    rng = random.Random(21)
+    vocab = ["w%d" % i for i in range(400)]
+    rows, origin = [], {}
+    for g in range(40):
+        base = [rng.choice(vocab) for _ in range(rng.randint(60, 300))]
+        for c in range(5):
+            own = list(base)
+            for _ in range(rng.choice([0, 1, 2, 4]) if c else 0):
+                own[rng.randrange(len(own))] = rng.choice(vocab)
+            origin[len(rows)] = g
+            rows.append((len(rows), " ".join(own)))
+    text = dict(rows)
+    shuffled = text[0].split()
+    rng.shuffle(shuffled)
+    rows += [(900, " ".join(shuffled)), (901, None), (902, ""), (903, "one two"), (904, "two one")]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.verified_duplicates(docs(spark, rows)).collect()}
+    assert len(got) == len(rows) and got[900] == 900 and got[903] != got[904] and got[901] == got[902]
+    assert all(origin[i] == origin[c] for i, c in got.items() if i in origin)
+    want = [(i, j) for i in origin for j in origin if i < j and jaccard(text[i], text[j]) >= 0.8]
+    assert np.mean([got[i] == got[j] for i, j in want]) > 0.95
+    assert simhash.verified_duplicates(docs(spark, rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [40, 200])
+def test_hub_edges_are_links_and_connect(n):
+    rng = random.Random(n)
+    fps = [rng.getrandbits(6) for _ in range(n)]
+    fps = np.array(sorted(set(fps) | {1 << 40}), np.uint64)
+    runs = np.zeros(len(fps), int)
+    a, b = simhash._hub_edges(fps, runs, 2)
+    assert all(0 < (int(fps[i]) ^ int(fps[j])).bit_count() <= 2 for i, j in zip(a, b, strict=True))
+    low = list(range(len(fps)))
+    labels = np.array(low)
+    simhash._linked(a, b, labels)
+    want = brute_components(low, {i: int(f) for i, f in enumerate(fps)}, 2)
+    assert {i: int(labels[i]) for i in low} == want and len(a) <= 3 * len(fps)

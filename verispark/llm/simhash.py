@@ -9,6 +9,9 @@ Equal fingerprints are one class from the start, so copies cost nothing.  Bucket
 only those of two or more classes go on.  A bucket beyond ``CELL`` classes is dealt into cells, one for each pair
 of blocks, so no task holds more than two blocks and every pair of the bucket still meets.  A cell gives
 a spanning forest of its links, never all pairs.
+
+Two uses: ``near_duplicates`` links by fingerprints of shingles alone; ``verified_duplicates`` takes the links of several fingerprints of
+words and word pairs as candidates and confirms each by the exact similarity of the texts' five-word shingles.
 """
 
 from __future__ import annotations
@@ -45,27 +48,33 @@ def _shingle_hashes(text: bytes, k: int, seed: int) -> list[int]:
     return [h(b" ".join(s), seed) for s in zip(*[words[i:] for i in range(k)], strict=False)]
 
 
-def _majority(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """For each run of hashes the 64 majority bits as one integer; empty runs give 0."""
-    out = np.zeros(len(lengths), np.uint64)
+def _ones(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each run of hashes how often each of the 64 bits, highest first, is set."""
+    out = np.zeros((len(lengths), 64), np.int64)
     ends = np.cumsum(lengths)
-    weights = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
     piece, first = 1 << 17, 0
     while first < len(lengths):
         start = ends[first] - lengths[first]
         last = max(first + 1, int(np.searchsorted(ends, start + piece, "right")))
-        ones = np.zeros((last - first, 64), np.int64)
-        own = np.repeat(np.arange(last - first), lengths[first:last])
+        own = np.repeat(np.arange(first, last), lengths[first:last])
         for a in range(0, len(own), piece):  # one very long text takes several pieces
             part = own[a : a + piece]
             bits = np.unpackbits(hashes[start + a : start + a + len(part)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
             at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            ones[part[at]] += np.add.reduceat(bits, at, axis=0, dtype=np.int64)
-        out[first:last] = ((2 * ones > lengths[first:last, None]) * weights).sum(axis=1, dtype=np.uint64)
+            out[part[at]] += np.add.reduceat(bits, at, axis=0, dtype=np.int64)
         first = last
     return out
 
 
+def _packed(bits: np.ndarray) -> np.ndarray:
+    return (bits * (np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+
+
+def _majority(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each run of hashes the 64 majority bits as one integer; empty runs give 0."""
+    return _packed(2 * _ones(hashes, lengths) > lengths[:, None])
+
+
 def _fingerprints(k: int, seeds: tuple[int, ...]):
     names = [f"fp{i}" for i in range(len(seeds))]
 
@@ -94,6 +103,32 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names))
 
 
+def _word_prints(families: int):
+    """Fingerprints of the distinct words, each counted twice, and the distinct pairs of neighbouring words."""
+    names = [f"fp{i}" for i in range(families)]
+
+    def hashed(sets: list[list[bytes]], seed: int) -> np.ndarray:
+        return np.frombuffer(b"".join(xxhash.xxh3_128_digest(x, seed) for s in sets for x in s), ">u8").astype(np.uint64).reshape(-1, 2)
+
+    def run(batches):
+        for whole in batches:
+            for a in range(0, whole.num_rows, 512):
+                b = whole.slice(a, 512)
+                words = [(x or b"").lower().split() for x in b.column(1).cast(pa.binary()).to_pylist()]
+                singles = [sorted(set(w)) for w in words]
+                pairs = [sorted({b" ".join(p) for p in zip(w, w[1:], strict=False)}) for w in words]
+                n1, n2 = np.array([len(s) for s in singles]), np.array([len(s) for s in pairs])
+                cols = []
+                for seed in range(SEED, SEED + -(-families // 2)):
+                    h1, h2 = hashed(singles, seed), hashed(pairs, seed)
+                    for half in (0, 1):
+                        ones = 2 * _ones(h1[:, half], n1) + _ones(h2[:, half], n2)
+                        cols.append(pa.array(_packed(2 * ones > (2 * n1 + n2)[:, None]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0), *cols[:families]], names=["id", *names])
+
+    return run, names
+
+
 def _linked(a: np.ndarray, b: np.ndarray, labels: np.ndarray) -> None:
     """Joins labels along the pairs (a, b) until they are stable."""
     while len(a):
@@ -133,13 +168,75 @@ def _forest(fps: np.ndarray, runs: np.ndarray, radius: int) -> np.ndarray:
     return labels
 
 
-def _edges_of(radius: int):
+def _hub_edges(fps: np.ndarray, runs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) by index: each member with the best linked member of its neighbourhood, and links that join what is then still apart.
+
+    All of them are links; the member with the most links, as an original among its edited copies has, is met directly."""
+    n = len(fps)
+    starts = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
+    sizes = np.diff(np.r_[starts, n])
+    labels, a_out, b_out = np.arange(n), [], []
+
+    def settle(a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            apart = labels[a] != labels[b]
+            a, b = a[apart], b[apart]
+            if not len(a):
+                return
+            key = np.minimum(labels[a], labels[b]) * n + np.maximum(labels[a], labels[b])
+            _, at = np.unique(key, return_index=True)
+            a_out.append(a[at])
+            b_out.append(b[at])
+            _linked(a[at], b[at], labels)
+
+    small = np.repeat(sizes <= 64, sizes)
+    pairs = [(np.zeros(0, int), np.zeros(0, int))]
+    for d in range(1, int(sizes[sizes <= 64].max(initial=1))):
+        i = np.flatnonzero((runs[:-d] == runs[d:]) & small[:-d])
+        if not len(i):
+            break
+        i = i[np.bitwise_count(fps[i] ^ fps[i + d]) <= radius]
+        pairs.append((i, i + d))
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    degree = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+    worth = degree.astype(np.int64) * n + np.arange(n)[::-1]
+    best = np.full(n, -1, np.int64)
+    np.maximum.at(best, a, worth[b])
+    np.maximum.at(best, b, worth[a])
+    up = np.flatnonzero(best > worth)
+    hub = n - 1 - best[up] % n
+    a_out.append(up)
+    b_out.append(hub)
+    _linked(up, hub, labels)
+    settle(a, b)
+    for s, m in zip(starts[sizes > 64], sizes[sizes > 64], strict=True):
+        own = fps[s : s + m]
+        near = lambda r: np.bitwise_count(own[r : r + 128, None] ^ own[None, :]) <= radius  # noqa: B023, E731
+        deg = np.concatenate([near(r).sum(axis=1) for r in range(0, m, 128)])
+        value = deg.astype(np.int64) * m + np.arange(m)[::-1]
+        for r in range(0, m, 128):
+            top = np.where(near(r), value[None, :], -1).argmax(axis=1)
+            x = np.arange(r, r + len(top))
+            a_out.append(x[top != x] + s)
+            b_out.append(top[top != x] + s)
+            _linked(x + s, top + s, labels)
+        for r in range(0, m, 128):
+            x, y = np.nonzero(near(r))
+            settle(x + s + r, y + s)
+    return np.concatenate(a_out), np.concatenate(b_out)
+
+
+def _edges_of(radius: int, hubs: bool):
     """Rows sorted by cell become edges; the rows of a cell may span batches."""
 
     def emit(cell, fps, reps):
-        labels = _forest(fps, cell, radius)
-        i = np.flatnonzero(labels != np.arange(len(labels)))
-        return pa.RecordBatch.from_arrays([pa.array(reps[i]), pa.array(reps[labels[i]])], names=["a", "b"])
+        if hubs:
+            i, j = _hub_edges(fps, cell, radius)
+        else:
+            j = _forest(fps, cell, radius)
+            i = np.flatnonzero(j != np.arange(len(j)))
+            j = j[i]
+        return pa.RecordBatch.from_arrays([pa.array(reps[i]), pa.array(reps[j])], names=["a", "b"])
 
     def run(batches):
         held = None
@@ -167,8 +264,10 @@ def _edges_of(radius: int):
     return run
 
 
-def link_fingerprints(classes: DataFrame, scratch: Scratch, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
-    """classes: fam int, fp long, rep long.  Edges (a, b) between reps whose fingerprints of a family link: a spanning forest of each cell."""
+def link_fingerprints(classes: DataFrame, scratch: Scratch, radius: int = RADIUS, cell: int = CELL, hubs: bool = False) -> DataFrame:
+    """classes: fam int, fp long, rep long.  Edges (a, b) between reps whose fingerprints of a family link: a spanning forest of each cell.
+
+    With ``hubs`` all edges are links themselves and favour well-linked members."""
     tables = F.array(*[F.struct(F.lit(i).alias("tab"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(covering_masks(radius))])
     rows = classes.select("fam", "fp", "rep", F.inline(tables)).withColumn("tab", F.col("tab") + F.col("fam") * 1000)
     crowded = scratch.save(rows.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
@@ -180,37 +279,86 @@ def link_fingerprints(classes: DataFrame, scratch: Scratch, radius: int = RADIUS
     many = many.select("tab", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "rep")
     dealt = one.unionByName(many) if not crowded.filter(F.col("n") > cell).limit(1).count() == 0 else one
     keys = ["tab", "key", "i", "j"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_edges_of(radius), "a long, b long")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_edges_of(radius, hubs), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seeds: tuple[int, ...] = (SEED,), radius: int = RADIUS) -> DataFrame:
-    """One row for each input row: id, the fingerprints fp0, fp1, ... and component_id, the smallest id reachable over links.
-
-    Two rows link if the fingerprints of any one seed differ in ``radius`` or fewer bits.  Rows whose id is null take part and
-    keep a null component unless they link to others.  An empty table gives an empty result.
-    """
-    scratch = Scratch(docs.sparkSession, "simhash")
-    fps = scratch.save(simhash(docs, id_col, text_col, shingle, seeds), "fingerprints")
-    names = [c for c in fps.columns if c != "id"]
-    whole = fps.groupBy(*names).agg(F.min("id").alias("rep")).filter("rep is not null")
-    classes = scratch.save(whole, "classes")
+def _groups(fps: DataFrame, names: list[str], scratch: Scratch, radius: int, confirm=None) -> DataFrame:
+    """fps with component_id.  confirm: keeps the right ones of candidate edges."""
+    classes = scratch.save(fps.groupBy(*names).agg(F.min("id").alias("rep")).filter("rep is not null"), "classes")
     families = [classes.groupBy(F.lit(i).alias("fam"), F.col(n).alias("fp")).agg(F.min("rep").alias("rep")) for i, n in enumerate(names)]
     by_fam = families[0]
     for f in families[1:]:
         by_fam = by_fam.unionByName(f)
     by_fam = scratch.save(by_fam, "families") if len(names) > 1 else by_fam
-    edges = link_fingerprints(by_fam, scratch, radius)
+    edges = link_fingerprints(by_fam, scratch, radius, hubs=confirm is not None)
     if len(names) > 1:  # classes that share the fingerprint of one family
         for i, n in enumerate(names):
             same = classes.join(by_fam.filter(F.col("fam") == i).select(F.col("fp").alias(n), F.col("rep").alias("low")), n)
             edges = edges.unionByName(same.filter("rep != low").select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    parts = connected_components(scratch.save(edges, "links"), scratch)
+    edges = scratch.save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    parts = connected_components(confirm(edges) if confirm else edges, scratch)
     labelled = scratch.save(classes.join(parts, classes["rep"] == parts["node"], "left").select(*names, F.coalesce("component", "rep").alias("component_id")), "labels")
-    return fps.join(labelled, names, "left").select(F.col("id").alias(id_col), *names, "component_id")
+    return fps.join(labelled, names, "left").select("id", *names, "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seeds: tuple[int, ...] = (SEED,), radius: int = RADIUS) -> DataFrame:
+    """One row for each input row: id, the fingerprints fp0, fp1, ... and component_id, the smallest id reachable over links.
+
+    Two rows link if the fingerprints of any one seed differ in ``radius`` or fewer bits.  Rows whose id is null take part and
+    keep a null component unless they link to others.  An empty table gives an empty result.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    fps = scratch.save(simhash(docs, id_col, text_col, shingle, seeds), "fingerprints")
+    return _groups(fps, [c for c in fps.columns if c != "id"], scratch, radius).withColumnRenamed("id", id_col)
+
+
+def _sets(k: int):
+    """Sorted distinct 64-bit hashes of each text's k-word shingles."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for t in b.column(1).cast(pa.binary()).to_pylist():
+                rows.append(np.unique(np.array(_shingle_hashes(t or b"", k, SEED), np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["id", "set"])
+
+    return run
+
+
+def _similar(least: float):
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
+
+    return run
+
+
+def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", families: int = 6, radius: int = RADIUS, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """id and component_id.  Candidates: fingerprints of words and word pairs of any family within the radius; a link holds if the
+    sets of ``shingle``-word shingles of both texts have a Jaccard similarity of ``least`` or more.
+
+    Fingerprints of the shingles themselves would differ in too many bits at this similarity.  Nulls and empty tables as in ``near_duplicates``.
+    """
+    scratch = Scratch(docs.sparkSession, "verified")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    run, names = _word_prints(families)
+    fps = scratch.save(src.mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names)), "fingerprints")
+
+    def confirm(edges: DataFrame) -> DataFrame:
+        ends = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
+        sets = scratch.save(src.join(ends, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(shingle), "id long, set binary"), "sets")
+        both = edges.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+        return scratch.save(both.select("a", "b", "x", "y").mapInArrow(_similar(least), "a long, b long"), "confirmed")
+
+    return _groups(fps, names, scratch, radius, confirm).select(F.col("id").alias(id_col), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows whose id is the smallest of their group, with all their columns; rows with a null id stay."""
-    found = near_duplicates(docs, id_col, **how)
     gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_id"))
     return docs.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
