@@ -245,7 +245,7 @@ def test_toxicity(spark):
 
 def test_grammar_reads_clauses_not_words():
     g = toxicity_grammar.Grammar({w: s for s, ws in toxicity_grammar.SEEDS.items() for w in ws.split()}, {})
-    event = lambda t: {k for *_, e in g.matched(t) for k in [("event", (e - 1) // 8, "negated", bool((e - 1) & 4), "reported", bool((e - 1) & 2), "targeted", bool((e - 1) & 1))]}
+    event = lambda t: {k for _, _, e, _ in g.matched(t) for k in [("event", (e - 1) // 8, "negated", bool((e - 1) & 4), "reported", bool((e - 1) & 2), "targeted", bool((e - 1) & 1))]}
     one = lambda kind, neg, rep, tgt: {("event", kind, "negated", neg, "reported", rep, "targeted", tgt)}
     assert event("You are an idiot.") == one(0, False, False, True)
     assert event("That idiot") == one(0, False, False, False)

@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from itertools import product
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,7 +31,8 @@ from verispark.llm.quality_nbsvm import labelled_sample
 
 SAMPLE = 4000
 TERMS = 2000
-SUPPORT = 6
+SUPPORT = 5
+SHARE = 0.01
 PRECISION = 0.93
 THRESHOLD = 0.5
 WORD = r"[^\W\d_]+"
@@ -73,8 +75,8 @@ def compose() -> tuple[np.ndarray, np.ndarray, int]:
     return step, out, number[(0,) * len(parts)]
 
 
-#: An event by its kind and conditions, then matched clauses, clauses a length, and whether there are two or more.
-N_FEATURES = 8 * len(EVENTS) + 3
+#: Clauses by event and conditions; then matched clauses, events, events a length, and whether there are two or more.
+N_FEATURES = 8 * len(EVENTS) + 4
 
 
 class Grammar:
@@ -83,9 +85,12 @@ class Grammar:
     def __init__(self, words: dict[str, str], stems: dict[str, str]):
         self.words, self.stems = words, stems
         self.lengths = sorted({len(s) for s in stems})
-        heads = sorted({w for w, s in words.items() if s in EVENTS} | {w for w, s in stems.items() if s in EVENTS}, key=lambda w: (-len(w), w))
-        ends = [re.escape(w) + (r"" if w in stems else r"\b") for w in heads]
-        self.any = re.compile(r"\b(?:" + "|".join(ends) + ")") if ends else None
+        self.heads = ahocorasick.Automaton()
+        for table, stem in ((words, False), (stems, True)):
+            for w, s in table.items():
+                if s in EVENTS:
+                    self.heads.add_word(w, (len(w), stem))
+        self.heads.make_automaton()
         self.step, self.out, self.begin = compose()
         self.symbol = {s: i for i, s in enumerate(SYMBOLS)}
         self.token = re.compile(WORD + r"|[\"“”«»„]")
@@ -96,8 +101,8 @@ class Grammar:
             s = "quote" if w in '"“”«»„' else next((self.stems[w[:n]] for n in self.lengths if w[:n] in self.stems), "other")
         return self.symbol[s]
 
-    def clause(self, text: str) -> int:
-        """The strongest event of a clause read forwards and, for what follows an attack, backwards."""
+    def clause(self, text: str) -> tuple[int, int]:
+        """The strongest event of a clause, read forwards and, for what follows an attack, backwards; and its number of events."""
         xs = [self._symbol(w) for w in self.token.findall(text)]
         events = []
         state = self.begin
@@ -110,32 +115,39 @@ class Grammar:
                 events[i] = events[i] - 1 | 1
                 events[i] += 1
             state = int(self.step[state, xs[i]])
-        return max((e for e in events if e), key=lambda e: (-((e - 1) & 6), (e - 1) & 1, e), default=0)
-
-    def matched(self, text: str) -> list[tuple[int, int, int]]:
-        """(start, end, event) of the clauses that hold an event, in the lower-cased text."""
+        events = [e for e in events if e]
+        return max(events, key=lambda e: (-((e - 1) & 6), (e - 1) & 1, e), default=0), len(events)
+
+    def _attacks(self, low: str):
+        """(start, end) of the words, or beginnings of words, that may give an event."""
+        for last, (n, stem) in self.heads.iter(low):
+            a, z = last - n + 1, last + 1
+            if (a == 0 or not low[a - 1].isalnum()) and (stem or z == len(low) or not low[z].isalnum()):
+                yield a, z
+
+    def matched(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(start, end, event, number of events) of the clauses that hold an event, in the lower-cased text."""
         found, done = [], -1
         low = text.lower()
-        for m in self.any.finditer(low) if self.any else ():
-            if m.start() < done:
+        for start, end in self._attacks(low) if len(self.heads) else ():
+            if start < done:
                 continue
-            a = max((x.end() for x in CLAUSE.finditer(low, max(0, m.start() - 2000), m.start())), default=max(0, m.start() - 2000))
-            z = CLAUSE.search(low, m.end())
-            done = min(z.start() if z else len(low), m.end() + 2000)
-            e = self.clause(low[a:done])
+            a = max((x.end() for x in CLAUSE.finditer(low, max(0, start - 2000), start)), default=max(0, start - 2000))
+            z = CLAUSE.search(low, end)
+            done = min(z.start() if z else len(low), end + 2000)
+            e, k = self.clause(low[a:done])
             if e:
-                found.append((a, done, e))
+                found.append((a, done, e, k))
         return found
 
     def features(self, text: str) -> np.ndarray:
         f = np.zeros(N_FEATURES, np.float32)
-        for _, _, e in self.matched(text):
+        clauses = self.matched(text)
+        for _, _, e, _ in clauses:
             f[e - 1] += 1
-        n = f[: 8 * len(EVENTS)].sum()
+        k = sum(c[3] for c in clauses)
         f[: 8 * len(EVENTS)] = np.log1p(f[: 8 * len(EVENTS)])
-        f[-3] = np.log1p(n)
-        f[-2] = np.log1p(n / (1 + len(text) / 1000))
-        f[-1] = n >= 2
+        f[-4:] = np.log1p(len(clauses)), np.log1p(k), np.log1p(k / (1 + len(text) / 1000)), k >= 2
         return f
 
 
@@ -149,9 +161,10 @@ def _featuriser(lexicon):
     return run
 
 
-def learn_lexicon(sample: DataFrame, terms: int = TERMS, support: int = SUPPORT, precision: float = PRECISION) -> tuple[dict[str, str], dict[str, str]]:
-    """Words and beginnings of four to six letters that keep to label 1.  sample: id, text, label, of."""
+def learn_lexicon(sample: DataFrame, terms: int = TERMS, support: int = SUPPORT, share: float = SHARE, precision: float = PRECISION) -> tuple[dict[str, str], dict[str, str]]:
+    """Words and beginnings of four to six letters that keep to label 1, in ``support`` or a ``share`` of its texts at least.  sample: id, text, label, of."""
     base = {w: s for s, ws in SEEDS.items() for w in ws.split()}
+    support = max(support, int(share * sample.filter("label = 1").count()))
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     seen = sample.select("label", F.explode(words).alias("word"))
     heads = sample.select("label", words.alias("ws"))
@@ -190,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
     got = picked.mapInArrow(_featuriser(lexicon), "id long, f binary, label int, of long").collect()
     y = np.array([float(r["label"]) for r in got])
     if len(set(y.tolist())) < 2:
-        w = np.r_[np.full(8 * len(EVENTS), 1.0), 1.0, 0.0, 1.0, -3.0]
+        w = np.r_[np.full(8 * len(EVENTS), 1.0), 1.0, 0.0, 0.0, 1.0, -3.0]
         return {"lexicon": lexicon, "w": w}
     x = np.array([np.frombuffer(bytes(r["f"]), "<f4") for r in got], float)
     of = {r["label"]: r["of"] for r in got}
@@ -209,7 +222,7 @@ def _scorer(shared):
             for i, t in enumerate(b.column(1)):
                 f = g.features(t.as_py() or "")
                 x[i, :-1] = f
-                clauses[i] = round(float(np.expm1(f[-3])))
+                clauses[i] = round(float(np.expm1(f[-4])))
             score = 1 / (1 + np.exp(-np.clip(x @ model["w"], -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array(clauses)], names=["id", "score", "clauses"])
 
