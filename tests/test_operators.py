@@ -305,9 +305,8 @@ def test_streaming(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, at string").selectExpr("*", "to_timestamp(at) ts").drop("at").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("conv_id long, turn int, role string, text string, ts timestamp").parquet(str(tmp_path / "in"))
     for df, name, mode in ((sessions.windowed_guard(stream), "win", "complete"), (sessions.masked_stream(stream), "masked", "append")):
-        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).start()
-        q.processAllAvailable()
-        q.stop()
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
     win = sorted((r["turns"], r["blocked"]) for r in spark.table("win").collect())
     assert win == [(1, 0), (2, 1)]
     assert {(r["conv_id"], r["masked"]) for r in spark.table("masked").collect()} >= {(2, "mail ⟦EMAIL_1⟧")}

@@ -25,8 +25,8 @@ def windowed_guard(turns: DataFrame, ts: str = "ts", role: str = "role", text: s
     return rows.groupBy(F.window("ts", width)).agg(F.count(F.lit(1)).alias("turns"), F.sum("tokens").alias("tokens"), F.count_if(F.col("act") == "block").alias("blocked"), F.count_if(F.col("act") == "flag").alias("flagged")).select("window.start", "window.end", "turns", "tokens", "blocked", "flagged")
 
 
-def masked_stream(turns: DataFrame, session: str = "conv_id", order: str = "turn", text: str = "text", idle_ms: int = 3_600_000) -> DataFrame:
-    """Masks turns as they come; a session's placeholders are its state and end after an hour without turns."""
+def masked_stream(turns: DataFrame, session: str = "conv_id", order: str = "turn", text: str = "text", ts: str = "ts", late: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:
+    """Masks turns as they come; a session's placeholders are its state and end when the watermark is an hour past its last turn."""
 
     def run(key: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -37,11 +37,14 @@ def masked_stream(turns: DataFrame, session: str = "conv_id", order: str = "turn
             for c, v, p in zip(*state.get, strict=True):
                 masker.issued[c, v] = p
                 masker.last[c] = masker.last.get(c, 0) + 1
+        newest = 0
         for part in rows:
             part = part.sort_values(order, kind="stable")
+            newest = max(newest, int(part["_ms"].max()))
             yield pd.DataFrame({session: key[0], order: part[order], "masked": [masker.mask(t)[0] for t in part[text]]})
         state.update(([c for c, _ in masker.issued], [v for _, v in masker.issued], list(masker.issued.values())))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
 
     kinds = {f.name: f.dataType.simpleString() for f in turns.schema}
-    return turns.groupBy(session).applyInPandasWithState(run, f"`{session}` {kinds[session]}, `{order}` {kinds[order]}, masked string", "category array<string>, value array<string>, placeholder array<string>", "append", "ProcessingTimeTimeout")
+    timed = turns.withWatermark(ts, late).withColumn("_ms", F.unix_millis(ts))
+    return timed.groupBy(session).applyInPandasWithState(run, f"`{session}` {kinds[session]}, `{order}` {kinds[order]}, masked string", "category array<string>, value array<string>, placeholder array<string>", "append", "EventTimeTimeout")
