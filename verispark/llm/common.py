@@ -31,7 +31,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{scratch_root(spark)}/verispark/{name}-{uuid.uuid4().hex[:12]}"
-        self.paths: dict[int, str] = {}
+        self.saved = 0
         self._delete_on_exit()
 
     def _hadoop(self, path: str):
@@ -45,19 +45,19 @@ class Scratch:
         fs.deleteOnExit(p)
 
     def save(self, df: DataFrame, tag: str, by: list[str] | None = None) -> DataFrame:
-        path = f"{self.base}/{tag}-{len(self.paths)}"
-        writer = df.write.mode("overwrite")
+        path = f"{self.base}/{self.saved}-{tag}"
+        self.saved += 1
+        writer = df.write.mode("errorifexists")
         if by:
             writer = writer.partitionBy(*by)
         writer.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        out._scratch = self  # keeps id(out) unique while the table is in use
+        out._scratch_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            path = self.paths.pop(id(t), None)
+            path = getattr(t, "__dict__", {}).pop("_scratch_path", None)
             if path:
                 p, fs = self._hadoop(path)
                 fs.delete(p, True)
