@@ -16,6 +16,8 @@ words and word pairs as candidates and confirms each by the exact similarity of
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,31 +40,34 @@ def covering_masks(radius: int = RADIUS) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _shingle_hashes(text: bytes, k: int, seed: int) -> list[int]:
+def _shingles(text: bytes, k: int) -> list[bytes]:
     words = text.lower().split()
-    if not words:
-        return []
-    h = xxhash.xxh64_intdigest
     if len(words) < k:
-        return [h(b" ".join(words), seed)]
-    return [h(b" ".join(s), seed) for s in zip(*[words[i:] for i in range(k)], strict=False)]
+        return [b" ".join(words)] if words else []
+    return [b" ".join(s) for s in zip(*[words[i:] for i in range(k)], strict=False)]
+
+
+def _hashes(items: list[bytes], seed: int = SEED) -> np.ndarray:
+    """XXH64 of each."""
+    return np.frombuffer(b"".join(map(partial(xxhash.xxh64_digest, seed=seed), items)), ">u8").astype(np.uint64)
 
 
 def _ones(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """For each run of hashes how often each of the 64 bits, highest first, is set."""
+    """For each run of hashes how often each of the 64 bits, highest first, is set.
+
+    Every eighth bit is summed at once, in groups of 255 hashes so that no sum leaves its byte."""
     out = np.zeros((len(lengths), 64), np.int64)
-    ends = np.cumsum(lengths)
-    piece, first = 1 << 17, 0
-    while first < len(lengths):
-        start = ends[first] - lengths[first]
-        last = max(first + 1, int(np.searchsorted(ends, start + piece, "right")))
-        own = np.repeat(np.arange(first, last), lengths[first:last])
-        for a in range(0, len(own), piece):  # one very long text takes several pieces
-            part = own[a : a + piece]
-            bits = np.unpackbits(hashes[start + a : start + a + len(part)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            out[part[at]] += np.add.reduceat(bits, at, axis=0, dtype=np.int64)
-        first = last
+    full = np.flatnonzero(lengths)
+    if not len(full):
+        return out
+    n = lengths[full]
+    groups = -(-n // 255)
+    first_group = np.cumsum(groups) - groups
+    start = np.repeat(np.cumsum(n) - n, groups) + 255 * (np.arange(groups.sum()) - np.repeat(first_group, groups))
+    for k in range(8):
+        sums = np.add.reduceat((hashes >> np.uint64(k)) & np.uint64(0x0101010101010101), start)
+        by_byte = np.add.reduceat(sums.astype("<u8").view(np.uint8).reshape(-1, 8), first_group, axis=0, dtype=np.int64)
+        out[full[:, None], 63 - k - 8 * np.arange(8)[None, :]] = by_byte
     return out
 
 
@@ -79,18 +84,15 @@ def _fingerprints(k: int, seeds: tuple[int, ...]):
     names = [f"fp{i}" for i in range(len(seeds))]
 
     def run(batches):
-        for b in batches:
-            texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
-            cols = [b.column(0)]
-            for seed in seeds:
-                runs, lengths = [], np.zeros(len(texts), np.int64)
-                for i, t in enumerate(texts):
-                    hs = _shingle_hashes(t, k, seed)
-                    lengths[i] = len(hs)
-                    runs.append(np.array(hs, np.uint64))
-                flat = np.concatenate(runs) if runs else np.zeros(0, np.uint64)
-                cols.append(pa.array(_majority(flat, lengths).view(np.int64)))
-            yield pa.RecordBatch.from_arrays(cols, names=["id", *names])
+        for whole in batches:
+            for a in range(0, whole.num_rows, 256):
+                b = whole.slice(a, 256)
+                texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
+                cols = [b.column(0)]
+                for seed in seeds:
+                    runs = [_hashes(_shingles(x, k), seed) for x in texts]
+                    cols.append(pa.array(_majority(np.concatenate(runs), np.array([len(r) for r in runs])).view(np.int64)))
+                yield pa.RecordBatch.from_arrays(cols, names=["id", *names])
 
     return run, names
 
@@ -107,24 +109,27 @@ def _word_prints(families: int):
     """Fingerprints of the distinct words, each counted twice, and the distinct pairs of neighbouring words."""
     names = [f"fp{i}" for i in range(families)]
 
-    def hashed(sets: list[list[bytes]], seed: int) -> np.ndarray:
-        return np.frombuffer(b"".join(xxhash.xxh3_128_digest(x, seed) for s in sets for x in s), ">u8").astype(np.uint64).reshape(-1, 2)
+    def mixed(h: np.ndarray, i: int) -> np.ndarray:
+        """A hash of its own for each family."""
+        h = h + np.uint64(0x9E3779B97F4A7C15 * (i + 1) % (1 << 64))
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
 
     def run(batches):
         for whole in batches:
-            for a in range(0, whole.num_rows, 512):
-                b = whole.slice(a, 512)
+            for a in range(0, whole.num_rows, 256):
+                b = whole.slice(a, 256)
                 words = [(x or b"").lower().split() for x in b.column(1).cast(pa.binary()).to_pylist()]
-                singles = [sorted(set(w)) for w in words]
-                pairs = [sorted({b" ".join(p) for p in zip(w, w[1:], strict=False)}) for w in words]
+                singles = [_hashes(list(set(w))) for w in words]
+                pairs = [_hashes(list({b" ".join(p) for p in zip(w, w[1:], strict=False)})) for w in words]
                 n1, n2 = np.array([len(s) for s in singles]), np.array([len(s) for s in pairs])
+                h1, h2 = np.concatenate(singles), np.concatenate(pairs)
                 cols = []
-                for seed in range(SEED, SEED + -(-families // 2)):
-                    h1, h2 = hashed(singles, seed), hashed(pairs, seed)
-                    for half in (0, 1):
-                        ones = 2 * _ones(h1[:, half], n1) + _ones(h2[:, half], n2)
-                        cols.append(pa.array(_packed(2 * ones > (2 * n1 + n2)[:, None]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0), *cols[:families]], names=["id", *names])
+                for i in range(families):
+                    ones = 2 * _ones(mixed(h1, i), n1) + _ones(mixed(h2, i), n2)
+                    cols.append(pa.array(_packed(2 * ones > (2 * n1 + n2)[:, None]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", *names])
 
     return run, names
 
@@ -269,7 +274,9 @@ def link_fingerprints(classes: DataFrame, scratch: Scratch, radius: int = RADIUS
 
     With ``hubs`` all edges are links themselves and favour well-linked members."""
     tables = F.array(*[F.struct(F.lit(i).alias("tab"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(covering_masks(radius))])
-    rows = classes.select("fam", "fp", "rep", F.inline(tables)).withColumn("tab", F.col("tab") + F.col("fam") * 1000)
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = classes.repartition(parts, "fam", "fp")  # a small table otherwise comes in a few tasks, and each row becomes fifteen
+    rows = spread.select("fam", "fp", "rep", F.inline(tables)).withColumn("tab", F.col("tab") + F.col("fam") * 1000)
     crowded = scratch.save(rows.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     met = rows.join(crowded, ["tab", "key"])
     blocks = F.ceil(F.col("n") / cell).cast("int")
@@ -319,7 +326,7 @@ def _sets(k: int):
         for b in batches:
             rows = []
             for t in b.column(1).cast(pa.binary()).to_pylist():
-                rows.append(np.unique(np.array(_shingle_hashes(t or b"", k, SEED), np.uint64)).tobytes())
+                rows.append(np.unique(_hashes(_shingles(t or b"", k))).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["id", "set"])
 
     return run
