@@ -61,6 +61,7 @@ class MemoEncoder:
         self.split = regex.compile(WORD_SPLIT if self.words else BYTE_LEVEL_SPLIT).findall
         self.plain = re.compile(WORD_PLAIN if self.words else BYTE_LEVEL_PLAIN).findall
         self.odd = WORD_ODD if self.words else BYTE_LEVEL_ODD
+        self.tokenize = self.tok.model.tokenize
         self.shown = {b: c for b, c in enumerate(_byte_table())}
         self.most = most
         self.clear()
@@ -70,7 +71,8 @@ class MemoEncoder:
         self.flat, self.start, self.size = array("i"), array("q"), array("i")
 
     def _learn(self, piece: str) -> int:
-        return self._add([t.id for t in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))])
+        plain = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(self.shown)
+        return self._add([t.id for t in self.tokenize(plain)])
 
     def _add(self, ids: list[int]) -> int:
         self.start.append(len(self.flat))

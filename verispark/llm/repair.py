@@ -17,31 +17,33 @@ MAGIC = b"VRPAIR01"
 LEAST = 12
 ROUNDS = 4
 RULES_A_ROUND = 4096
+SLOT_BITS = 18
 
 
-def _frequent(seq: np.ndarray, open_: np.ndarray, least: int, most: int):
-    """Frequent pairs, most frequent first, and for each position the rank of its pair (or ``most``)."""
-    n = len(seq) - 1
-    rank = np.full(n, most, np.int32)
+def _frequent(seq: np.ndarray, open_: np.ndarray, least: int, most: int, salt: int):
+    """Frequent pairs, most frequent first, and for each position the rank of its pair (or ``most``).
+
+    Pairs are counted in hashed slots; of the pairs that share a slot one is counted in a round, and another salt
+    separates them in the next.  The counts that are used are exact."""
+    rank = np.full(len(seq) - 1, most, np.int32)
     a, b = seq[:-1].astype(np.uint64), seq[1:].astype(np.uint64)
-    slot = ((a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(43)).astype(np.int32)
-    hits = np.bincount(slot[open_], minlength=1 << 21)
-    floor = least
-    while int((hits >= floor).sum()) > 2 * most:
-        floor *= 2
-    at = np.flatnonzero((hits[slot] >= floor) & open_)
-    if not len(at):
-        return None, rank
-    codes = (a[at] << np.uint64(32)) | b[at]
-    pairs, own, counts = np.unique(codes, return_inverse=True, return_counts=True)
-    order = np.argsort(-counts, kind="stable")[:most]
+    codes = (a << np.uint64(32)) | b
+    slot = ((codes * np.uint64(0x9E3779B97F4A7C15 + 2 * salt)) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+    hits = np.bincount(slot[open_], minlength=1 << SLOT_BITS)
+    at = np.flatnonzero((hits >= least)[slot] & open_)
+    own, codes = slot[at], codes[at]
+    held = np.zeros(1 << SLOT_BITS, np.uint64)
+    held[own] = codes
+    same = held[own] == codes
+    at, own = at[same], own[same]
+    counts = np.bincount(own, minlength=1 << SLOT_BITS)
+    order = np.argpartition(counts, len(counts) - most)[-most:] if most < len(counts) else np.arange(len(counts))
     order = order[counts[order] >= least]
-    if not len(order):
-        return None, rank
-    place = np.full(len(pairs), most, np.int32)
+    order = order[np.lexsort((held[order], -counts[order]))]
+    place = np.full(1 << SLOT_BITS, most, np.int32)
     place[order] = np.arange(len(order))
     rank[at] = place[own]
-    return pairs[order], rank
+    return held[order], rank
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST, rounds: int = ROUNDS, most: int = RULES_A_ROUND):
@@ -51,11 +53,11 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST,
     last[ends[ends > 0] - 1] = True
     rules: list[np.ndarray] = []
     top = first
-    for _ in range(rounds):
+    for salt in range(rounds):
         if len(seq) < 2:
             break
-        pairs, rank = _frequent(seq, ~last[:-1], least, most)
-        if pairs is None:
+        pairs, rank = _frequent(seq, ~last[:-1], least, most, salt)
+        if not len(pairs):
             break
         before, after = np.r_[most, rank[:-1]], np.r_[rank[1:], most]
         take = np.flatnonzero((rank < most) & (rank < before) & (rank <= after))
@@ -114,15 +116,16 @@ class Shard:
         self.seq = np.frombuffer(data, f"<u{width}", n_seq, at)
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        cur = symbols.astype(np.int64)
+        cur = symbols.astype(np.int32)
         while True:
             rule = np.flatnonzero(cur >= self.first)
             if not len(rule):
                 return cur.astype(np.uint32)
-            n = np.ones(len(cur), np.int64)
-            n[rule] = 2
-            at = np.cumsum(n) - n
-            out = np.empty(int(n.sum()), np.int64)
+            twice = np.zeros(len(cur), np.int32)
+            twice[rule] = 1
+            at = np.arange(len(cur), dtype=np.int32)
+            at[1:] += np.cumsum(twice[:-1], dtype=np.int32)
+            out = np.empty(len(cur) + len(rule), np.int32)
             out[at] = cur
             pair = self.rules[cur[rule] - self.first]
             out[at[rule]], out[at[rule] + 1] = pair[:, 0], pair[:, 1]
