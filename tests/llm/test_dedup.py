@@ -225,3 +225,47 @@ def test_hub_edges_are_links_and_connect(n):
     simhash._linked(a, b, labels)
     want = brute_components(low, {i: int(f) for i, f in enumerate(fps)}, 2)
     assert {i: int(labels[i]) for i in low} == want and len(a) <= 3 * len(fps)
+
+
+def edited_copies(seed, groups, copies):
+    """Texts in groups, each copy edited until about 0.8 of its shingles are the original's."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(groups):
+        base = ["w%d" % int(rng.paretovariate(0.9)) for _ in range(rng.randint(60, 300))]
+        for c in range(copies):
+            own = list(base)
+            for at in rng.sample(range(len(own)), rng.randint(len(own) // 100, len(own) // 45) if c else 0):
+                own[at] = "v%d" % rng.randint(1, 10_000)
+            rows.append((len(rows), " ".join(own)))
+    return rows
+
+
+def similar_components(rows, least=0.8):
+    sets = {i: {" ".join(t.split()[a : a + 5]) for a in range(max(1, len(t.split()) - 4))} for i, t in rows}
+    pairs = [(i, j, len(sets[i] & sets[j]) / len(sets[i] | sets[j])) for i in sets for j in sets if i < j and sets[i] & sets[j]]
+    low = {i: i for i in sets}
+
+    def find(x):
+        return x if low[x] == x else find(low[x])
+
+    for i, j, s in pairs:
+        if s >= least:
+            a, b = sorted((find(i), find(j)))
+            low[b] = a
+    return {i: find(i) for i in sets}, [p for p in pairs if p[2] >= least]
+
+
+@pytest.mark.parametrize("how", [{}, {"crowd": 4, "block": 8}])
+def test_every_similar_pair_of_a_group_joins_its_members(spark, how):
+    rows = edited_copies(31, 6, 40)
+    want, _ = similar_components(rows)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.verified_duplicates(docs(spark, rows), **how).collect()}
+    assert got == want and 6 < len(set(want.values())) < len(rows)
+
+
+def test_equal_words_and_pairs_are_not_enough(spark):
+    rows = [(1, "a b c a b c b a c " * 2 + "a c b a"), (2, "a c b a c a b c b " * 2 + "a b c a")]
+    pairs = lambda t: (set(t.split()), set(zip(t.split(), t.split()[1:], strict=False)))
+    assert pairs(rows[0][1]) == pairs(rows[1][1]) and jaccard(rows[0][1], rows[1][1]) < 0.8
+    assert [r["component_id"] for r in simhash.verified_duplicates(docs(spark, rows)).orderBy("doc_id").collect()] == [1, 2]

@@ -10,8 +10,8 @@ only those of two or more classes go on.  A bucket beyond ``CELL`` classes is de
 of blocks, so no task holds more than two blocks and every pair of the bucket still meets.  A cell gives
 a spanning forest of its links, never all pairs.
 
-Two uses: ``near_duplicates`` links by fingerprints of shingles alone; ``verified_duplicates`` takes the links of several fingerprints of
-words and word pairs as candidates and confirms each by the exact similarity of the texts' five-word shingles.
+``near_duplicates`` links by fingerprints of shingles alone.  ``verified_duplicates`` needs none: it links by the exact similarity of the
+texts' five-word shingles, and its candidates are those of a prefix filter, which misses no pair.
 """
 
 from __future__ import annotations
@@ -30,6 +30,10 @@ from verispark.llm.components import connected_components
 RADIUS = 3
 CELL = 8192
 SEED = 42
+#: For the exact links: one of so many texts is sampled for common shingles, of which so many at most are ordered last; buckets beyond
+#: CROWD texts are first joined by stars, in so many rounds, and dealt in blocks of BLOCK.
+SAMPLED, COMMON = 32, 100_000
+CROWD, ROUNDS, BLOCK = 64, 3, 1024
 
 
 def covering_masks(radius: int = RADIUS) -> list[int]:
@@ -105,35 +109,6 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names))
 
 
-def _word_prints(families: int):
-    """Fingerprints of the distinct words, each counted twice, and the distinct pairs of neighbouring words."""
-    names = [f"fp{i}" for i in range(families)]
-
-    def mixed(h: np.ndarray, i: int) -> np.ndarray:
-        """A hash of its own for each family."""
-        h = h + np.uint64(0x9E3779B97F4A7C15 * (i + 1) % (1 << 64))
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(31))
-
-    def run(batches):
-        for whole in batches:
-            for a in range(0, whole.num_rows, 256):
-                b = whole.slice(a, 256)
-                words = [(x or b"").lower().split() for x in b.column(1).cast(pa.binary()).to_pylist()]
-                singles = [_hashes(list(set(w))) for w in words]
-                pairs = [_hashes(list({b" ".join(p) for p in zip(w, w[1:], strict=False)})) for w in words]
-                n1, n2 = np.array([len(s) for s in singles]), np.array([len(s) for s in pairs])
-                h1, h2 = np.concatenate(singles), np.concatenate(pairs)
-                cols = []
-                for i in range(families):
-                    ones = 2 * _ones(mixed(h1, i), n1) + _ones(mixed(h2, i), n2)
-                    cols.append(pa.array(_packed(2 * ones > (2 * n1 + n2)[:, None]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", *names])
-
-    return run, names
-
-
 def _linked(a: np.ndarray, b: np.ndarray, labels: np.ndarray) -> None:
     """Joins labels along the pairs (a, b) until they are stable."""
     while len(a):
@@ -231,16 +206,13 @@ def _hub_edges(fps: np.ndarray, runs: np.ndarray, radius: int) -> tuple[np.ndarr
     return np.concatenate(a_out), np.concatenate(b_out)
 
 
-def _edges_of(radius: int, hubs: bool):
+def _edges_of(radius: int):
     """Rows sorted by cell become edges; the rows of a cell may span batches."""
 
     def emit(cell, fps, reps):
-        if hubs:
-            i, j = _hub_edges(fps, cell, radius)
-        else:
-            j = _forest(fps, cell, radius)
-            i = np.flatnonzero(j != np.arange(len(j)))
-            j = j[i]
+        j = _forest(fps, cell, radius)
+        i = np.flatnonzero(j != np.arange(len(j)))
+        j = j[i]
         return pa.RecordBatch.from_arrays([pa.array(reps[i]), pa.array(reps[j])], names=["a", "b"])
 
     def run(batches):
@@ -269,10 +241,8 @@ def _edges_of(radius: int, hubs: bool):
     return run
 
 
-def link_fingerprints(classes: DataFrame, scratch: Scratch, radius: int = RADIUS, cell: int = CELL, hubs: bool = False) -> DataFrame:
-    """classes: fam int, fp long, rep long.  Edges (a, b) between reps whose fingerprints of a family link: a spanning forest of each cell.
-
-    With ``hubs`` all edges are links themselves and favour well-linked members."""
+def link_fingerprints(classes: DataFrame, scratch: Scratch, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
+    """classes: fam int, fp long, rep long.  Edges (a, b) between reps whose fingerprints of a family link: a spanning forest of each cell."""
     tables = F.array(*[F.struct(F.lit(i).alias("tab"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(covering_masks(radius))])
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = classes.repartition(parts, "fam", "fp")  # a small table otherwise comes in a few tasks, and each row becomes fifteen
@@ -286,24 +256,24 @@ def link_fingerprints(classes: DataFrame, scratch: Scratch, radius: int = RADIUS
     many = many.select("tab", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "rep")
     dealt = one.unionByName(many) if not crowded.filter(F.col("n") > cell).limit(1).count() == 0 else one
     keys = ["tab", "key", "i", "j"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_edges_of(radius, hubs), "a long, b long")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_edges_of(radius), "a long, b long")
 
 
-def _groups(fps: DataFrame, names: list[str], scratch: Scratch, radius: int, confirm=None) -> DataFrame:
-    """fps with component_id.  confirm: keeps the right ones of candidate edges."""
+def _groups(fps: DataFrame, names: list[str], scratch: Scratch, radius: int) -> DataFrame:
+    """fps with component_id."""
     classes = scratch.save(fps.groupBy(*names).agg(F.min("id").alias("rep")).filter("rep is not null"), "classes")
     families = [classes.groupBy(F.lit(i).alias("fam"), F.col(n).alias("fp")).agg(F.min("rep").alias("rep")) for i, n in enumerate(names)]
     by_fam = families[0]
     for f in families[1:]:
         by_fam = by_fam.unionByName(f)
     by_fam = scratch.save(by_fam, "families") if len(names) > 1 else by_fam
-    edges = link_fingerprints(by_fam, scratch, radius, hubs=confirm is not None)
+    edges = link_fingerprints(by_fam, scratch, radius)
     if len(names) > 1:  # classes that share the fingerprint of one family
         for i, n in enumerate(names):
             same = classes.join(by_fam.filter(F.col("fam") == i).select(F.col("fp").alias(n), F.col("rep").alias("low")), n)
             edges = edges.unionByName(same.filter("rep != low").select(F.col("rep").alias("a"), F.col("low").alias("b")))
     edges = scratch.save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    parts = connected_components(confirm(edges) if confirm else edges, scratch)
+    parts = connected_components(edges, scratch)
     labelled = scratch.save(classes.join(parts, classes["rep"] == parts["node"], "left").select(*names, F.coalesce("component", "rep").alias("component_id")), "labels")
     return fps.join(labelled, names, "left").select("id", *names, "component_id")
 
@@ -339,30 +309,194 @@ def _similar(least: float):
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both))
+                keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
 
     return run
 
 
-def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", families: int = 6, radius: int = RADIUS, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """id and component_id.  Candidates: fingerprints of words and word pairs of any family within the radius; a link holds if the
-    sets of ``shingle``-word shingles of both texts have a Jaccard similarity of ``least`` or more.
+def _common_shingles(src: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that a sample of the texts has more than once, ascending, and their ranks from 1, the most common last.
+
+    They only order the shingles: any order gives the same links, this one keeps buckets small."""
+
+    def run(batches):
+        for b in _sets(k)(batches):
+            sets = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], names=["h"])
+
+    sample = src.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).mapInArrow(run, "h long")
+    got = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    h = np.array([r["h"] for r in got], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.arange(len(h), 0, -1)[order]
+
+
+def _prefixes(k: int, least: float, shared):
+    """id, digest of the set of shingles in two halves, its size, and its first shingles in the common order.
+
+    Of two sets at ``least`` or more, each has one of the other's among so many first ones."""
+
+    def run(batches):
+        h, rank = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                digests, sizes, firsts = [], [], []
+                for t in b.column(1).cast(pa.binary()).to_pylist():
+                    s = np.unique(_hashes(_shingles(t or b"", k)))
+                    digests.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    sizes.append(len(s))
+                    if len(h):
+                        place = np.minimum(np.searchsorted(h, s), len(h) - 1)
+                        s = s[np.argsort(np.where(h[place] == s, rank[place], 0), kind="stable")]
+                    firsts.append(s[: len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1].tobytes())
+                d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary())], names=["id", "d0", "d1", "n", "first"])
+
+    return run
+
+
+_MEMBER = np.dtype([("h", "<u8"), ("id", "<i8"), ("at", "<i4"), ("n", "<i4")])
 
-    Fingerprints of the shingles themselves would differ in too many bits at this similarity.  Nulls and empty tables as in ``near_duplicates``.
+
+def _dealt(parts: int):
+    """Every first shingle as a member (hash, id, its place, size of the set), packed by the part of the hash."""
+
+    def run(batches):
+        for b in batches:
+            firsts = [np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist()]
+            lengths = np.array([len(x) for x in firsts], np.int64)
+            m = np.empty(int(lengths.sum()), _MEMBER)
+            if not len(m):
+                continue
+            m["h"] = np.concatenate(firsts)
+            m["id"] = np.repeat(b.column(0).to_numpy(), lengths)
+            m["n"] = np.repeat(b.column(1).to_numpy(), lengths)
+            m["at"] = np.arange(len(m)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            part = (m["h"] % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            m, part = m[order], part[order]
+            cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.array([x.tobytes() for x in np.split(m, cut[1:])], pa.binary())], names=["part", "members"])
+
+    return run
+
+
+def _met(batches):
+    """Members whose shingle is another's as well."""
+    packed = [x for b in batches for x in b.column(1).to_pylist()]
+    m = np.frombuffer(b"".join(packed), _MEMBER)
+    del packed
+    m = m[np.argsort(m["h"], kind="stable")]
+    same = m["h"][1:] == m["h"][:-1]
+    m = m[np.r_[False, same] | np.r_[same, False]] if len(m) else m
+    for a in range(0, len(m), 1 << 16):
+        x = m[a : a + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(x["h"].astype(np.int64)), *[pa.array(x[c].copy()) for c in ("id", "at", "n")]], names=["h", "id", "at", "n"])
+
+
+def _candidates(least: float):
+    """Rows sorted by cell (h, i, j) become the pairs of block i with block j whose labels differ and whose sets can still be similar."""
+
+    def emit(c, x, y):
+        _, _, _, own, ids, at, n, label = c
+        apart = (label[x] != label[y]) & (own[x] == c[1][x]) & (own[y] == c[2][x]) & ((c[1][x] != c[2][x]) | (ids[x] < ids[y]))
+        x, y = x[apart], y[apart]
+        left = np.minimum(n[x] - at[x], n[y] - at[y])  # if no earlier shingle is shared, as many can be at most
+        x, y = (v[left * (1 + least) >= least * (n[x] + n[y]) - 1e-6] for v in (x, y))
+        return np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y])
+
+    def pairs(c):
+        new = np.r_[True, np.any([k[1:] != k[:-1] for k in c[:3]], axis=0)]
+        start = np.flatnonzero(new)
+        sizes = np.diff(np.r_[start, len(new)])
+        run = np.cumsum(new)
+        small = np.repeat(sizes <= CROWD, sizes)
+        for d in range(1, int(sizes[sizes <= CROWD].max(initial=1))):
+            x = np.flatnonzero((run[:-d] == run[d:]) & small[:-d])
+            if not len(x):
+                break
+            yield emit(c, np.r_[x, x + d], np.r_[x + d, x])
+        for s, m in zip(start[sizes > CROWD], sizes[sizes > CROWD], strict=True):
+            for r in range(s, s + m, 128):
+                x = np.arange(r, min(r + 128, s + m))
+                yield emit(c, np.repeat(x, m), np.tile(np.arange(s, s + m), len(x)))
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = [col.to_numpy(zero_copy_only=False) for col in batch.columns]
+            c = [np.r_[x, y] for x, y in zip(held, c, strict=True)] if held else c
+            cut = int(np.flatnonzero(np.any([k != k[-1] for k in c[:3]], axis=0)).max(initial=-1)) + 1
+            held = [x[cut:] for x in c]
+            if cut:
+                for a, b in pairs([x[:cut] for x in c]):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        if held:
+            for a, b in pairs(held):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
+    """id and component_id.  Two rows link if the sets of ``shingle``-word shingles of their texts have a Jaccard similarity of ``least`` or more.
+
+    Equal sets are one class.  Two sets so similar share one of their first shingles in any common order, so classes that share one
+    are candidates.  Those of crowded buckets are joined by confirmed stars first; then every candidate pair that is still apart is confirmed.
+    Nulls and empty tables as in ``near_duplicates``.
     """
-    scratch = Scratch(docs.sparkSession, "verified")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "verified")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    run, names = _word_prints(families)
-    fps = scratch.save(src.mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names)), "fingerprints")
-
-    def confirm(edges: DataFrame) -> DataFrame:
-        ends = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
-        sets = scratch.save(src.join(ends, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(shingle), "id long, set binary"), "sets")
-        both = edges.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-        return scratch.save(both.select("a", "b", "x", "y").mapInArrow(_similar(least), "a long, b long"), "confirmed")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = spark.sparkContext.broadcast(_common_shingles(src, shingle))  # COMMON at most
+    prints = scratch.save(src.mapInArrow(_prefixes(shingle, least, shared), "id long, d0 long, d1 long, n int, first binary"), "prefixes")
+    classes = scratch.save(prints.groupBy("d0", "d1").agg(F.min("id").alias("id")).filter("id is not null"), "classes")
+    one = prints.join(classes, ["id", "d0", "d1"], "left_semi").select("id", "n", "first")
+    packed = one.mapInArrow(_dealt(4 * parts), "part int, members binary").repartition(parts, "part")
+    met = scratch.save(packed.mapInArrow(_met, "h long, id long, at int, n int"), "members")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.save(pairs.distinct(), "pairs")
+        ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        sets = scratch.save(src.join(ends, "id", "left_semi").mapInArrow(_sets(shingle), "id long, set binary"), "sets")
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+        out = scratch.save(both.select("a", "b", "x", "y").mapInArrow(_similar(least), "a long, b long"), "confirmed")
+        scratch.drop(sets)
+        return out
 
-    return _groups(fps, names, scratch, radius, confirm).select(F.col("id").alias(id_col), "component_id")
+    def labelled(links: DataFrame | None) -> DataFrame:
+        """Members of the buckets that hold more than one component, with the size of the bucket."""
+        rows = met.withColumn("label", F.col("id"))
+        if links is not None:
+            rows = met.join(connected_components(links, scratch).withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+        rows = scratch.save(rows, "labelled")
+        mixed = rows.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("h", "size")
+        return scratch.save(rows.join(mixed, "h"), "mixed")
+
+    links, rows = None, labelled(None)
+    for r in range(ROUNDS):
+        crowded = rows.filter(F.col("size") > crowd)
+        if crowded.limit(1).count() == 0:
+            break
+        hubs = crowded.groupBy("h").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("k"), "id", "label")).alias("hub"))
+        star = crowded.join(hubs, "h").filter("label != hub.label").select(F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b"))
+        found = confirm(star)
+        links = found if links is None else links.unionByName(found)
+        rows = labelled(links)
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    keys = ["h", "i", "j"]
+    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "at", "n", "label")
+    found = confirm(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_candidates(least), "a long, b long"))
+    links = found if links is None else links.unionByName(found)
+    nodes = connected_components(links, scratch)
+    named = scratch.save(classes.join(nodes, classes["id"] == nodes["node"], "left").select("d0", "d1", F.coalesce("component", "id").alias("component_id")), "labels")
+    return prints.join(named, ["d0", "d1"], "left").select(F.col("id").alias(id_col), "component_id")
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
