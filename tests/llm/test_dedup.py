@@ -269,3 +269,10 @@ def test_equal_words_and_pairs_are_not_enough(spark):
     pairs = lambda t: (set(t.split()), set(zip(t.split(), t.split()[1:], strict=False)))
     assert pairs(rows[0][1]) == pairs(rows[1][1]) and jaccard(rows[0][1], rows[1][1]) < 0.8
     assert [r["component_id"] for r in simhash.verified_duplicates(docs(spark, rows)).orderBy("doc_id").collect()] == [1, 2]
+
+
+def test_no_pair_near_the_threshold_is_missed(spark):
+    rows = edited_copies(32, 300, 2)
+    _, pairs = similar_components(rows)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.verified_duplicates(docs(spark, rows)).collect()}
+    assert sum(s < 0.85 for _, _, s in pairs) > 30 and [got[i] == got[j] for i, j, _ in pairs] == [True] * len(pairs)
