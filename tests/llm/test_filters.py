@@ -254,3 +254,14 @@ def test_grammar_reads_clauses_not_words():
     assert event("I will destroy you") == one(1, False, False, True)
     assert event("idiotic plans. Nothing here.") == set()
     assert len(g.matched("idiot. moron! scum")) == 3 and g.matched("") == []
+
+
+@pytest.mark.parametrize("gone", [[0, 1, 2], [57, 58, 59], [30]])
+def test_documents_shorter_than_the_item_they_hold(gone):
+    rng = random.Random(12)
+    item = prose(rng, [*EN, *DE], 60)
+    words = [w for i, w in enumerate(item.split()) if i not in gone]
+    index = decontaminate.Index([(7, item), (8, prose(rng, EN, 60))], 5, 15)
+    want = decontaminate.similarity(Counter(decontaminate.shingles_of(words)), Counter(decontaminate.shingles_of(item.split())))
+    assert want >= 0.8 and index.matches(" ".join(words), 0.8) == [(7, 0, len(words), want)]
+    assert index.matches(" ".join(words[:30]), 0.8) == []

@@ -5,7 +5,8 @@ multi-index: fingerprints are cut into radius + 1 blocks, and two that differ in
 no fingerprint within the radius is missed.  Candidates are verified by the exact weighted similarity of their shingles
 (sum of the smaller counts over sum of the larger).
 
-Only places that share a shingle with some item get windows; anywhere else the similarity is zero.  The benchmark is used in
+A document shorter than the item is one window as it is.  Only places that share a shingle with some item get windows;
+anywhere else the similarity is zero.  The benchmark is used in
 blocks of bounded size, each against all documents, so its size is no limit.
 """
 
@@ -117,7 +118,9 @@ class Index:
                 regions[n] += [(p, p) for p in np.flatnonzero(run).tolist() if " ".join(words[p : p + n]) in self.gram_sizes]
         best: dict[int, tuple[float, int]] = {}
         for n, spans in regions.items():
-            if len(words) < n:
+            if len(words) < n:  # the whole document is the one window
+                if len(words) - k + 1 >= least * (n - k + 1) - 1e-9:
+                    self._windows(words, n, 0, 0, least, best)
                 continue
             spans.sort()
             merged: list[list[int]] = []
@@ -130,11 +133,11 @@ class Index:
             for a, b in merged:
                 for c in range(a, b + 1, 4096):
                     self._windows(words, n, c, min(b, c + 4095), least, best)
-        return [(self.items[i][0], at, len(self.items[i][1]), s) for i, (s, at) in best.items()]
+        return [(self.items[i][0], at, min(len(self.items[i][1]), len(words)), s) for i, (s, at) in best.items()]
 
     def _windows(self, words, n, a, b, least, best) -> None:
         grams = shingles_of(words[a : b + n], self.k) if n >= self.k else [" ".join(words[i : i + n]) for i in range(a, b + 1)]
-        each = max(1, n - self.k + 1)
+        each = max(1, min(n, len(words)) - self.k + 1)
         sums = np.zeros((len(grams) + 1, 64), np.int32)
         np.cumsum(_bits([xxhash.xxh64_intdigest(s, SEED) for s in grams]), axis=0, out=sums[1:])
         prints = (2 * (sums[each:] - sums[:-each]) > each) @ _WEIGHTS
