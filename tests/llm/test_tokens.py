@@ -132,3 +132,27 @@ def test_packing_edges(spark):
     d = spark.createDataFrame([(1, "a b", 0), (1, "a b", 0), (None, "c", 0)], "doc_id long, text string, length int")
     assert check_packing(packing.pack(d, path, 0).collect(), 2048) == 1
     assert packing.pack(d.limit(0), path, 0).count() == 0
+
+
+TOLD = [*ODD, "x <|endoftext|> y", "A<|startoftext|>b  c<|endoftext|>", "<|ENDOFTEXT|> <|endoftext |>", "é<|endoftext|>\x1c İ"]
+
+
+@pytest.mark.parametrize("name", [queries.BYTE_FILE, queries.WORD_FILE])
+def test_added_tokens_as_in_a_plain_call(name):
+    enc, tok = MemoEncoder(queries.tokenizer_path(name), most=20, added=True), Tokenizer.from_file(queries.tokenizer_path(name))
+    for _ in range(3):
+        ids, n = enc.encode(TOLD)
+        at = np.r_[0, np.cumsum(n)]
+        assert [ids[a:z].tolist() for a, z in zip(at, at[1:], strict=False)] == [tok.encode(t, add_special_tokens=False).ids for t in TOLD]
+
+
+def test_queries_give_the_ids_of_a_plain_call(spark, tmp_path):
+    import corpus_pipeline
+
+    d = spark.createDataFrame(list(enumerate(TOLD)), "doc_id long, text string")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    crc = lambda name, t, end: zlib.crc32(np.array([*Tokenizer.from_file(queries.tokenizer_path(name)).encode(t, add_special_tokens=False).ids, end], "<u4").tobytes())
+    got = {r["doc_id"]: r["ids_crc32"] for r in queries.op5_token_files(spark, str(tmp_path)).collect()}
+    assert got == {i: crc(queries.BYTE_FILE, t, queries.BYTE_END) for i, t in enumerate(TOLD)}
+    for packed in (queries.op7_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, d, "")):
+        assert {r["doc_id"]: r["ids_crc32"] for r in packed.collect()} == {i: crc(queries.WORD_FILE, t, queries.WORD_END) for i, t in enumerate(TOLD)}

@@ -3,7 +3,7 @@
 Both supported kinds of files split a text into pieces before they merge, and the merges of a piece depend on the piece
 alone.  So each distinct piece goes through the library's model once and later ones are looked up. Texts for which the split
 here could differ from the library's (characters whose class or case mapping differs between the two) go through the
-library whole.
+library whole, and so do texts that hold an added token of the file where ``added`` asks for those.
 """
 
 from __future__ import annotations
@@ -49,14 +49,17 @@ class _Pieces(dict):
 
 
 class MemoEncoder:
-    """encode(texts) gives all ids in one array and the number of ids of each text."""
+    """encode(texts) gives all ids in one array and the number of ids of each text.
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    added: added tokens such as <|endoftext|> get their own ids, as in a plain call of the library; otherwise they are read as text."""
+
+    def __init__(self, path: str, most: int = 1_000_000, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not added
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()] if added else []
         self.words = self.tok.normalizer is not None
         self.split = regex.compile(WORD_SPLIT if self.words else BYTE_LEVEL_SPLIT).findall
         self.plain = re.compile(WORD_PLAIN if self.words else BYTE_LEVEL_PLAIN).findall
@@ -81,6 +84,9 @@ class MemoEncoder:
         return len(self.start) - 1
 
     def _numbers(self, text: str) -> np.ndarray:
+        for x in self.added:
+            if x in text:
+                return np.array([self._add(self.tok.encode(text, add_special_tokens=False).ids)])
         if not NOT_PLAIN.search(text):
             pieces = self.plain(text.lower() if self.words else text)
         else:

@@ -68,11 +68,11 @@ def sweep_plan(counts: dict[int, int], capacity: int = LENGTH) -> tuple[list[tup
     return plan, sequences
 
 
-def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
+def _pieces(path: str, end_id: int, capacity: int, with_ids: bool, added: bool):
     def run(batches):
         enc = None
         for ids, texts in _batches_of_texts(batches):
-            enc = enc or MemoEncoder(path)
+            enc = enc or MemoEncoder(path, added=added)
             flat, counts = enc.encode(texts)
             out = ([], [], [], [], [], [])
             at = 0
@@ -93,8 +93,9 @@ def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", capacity: int = LENGTH, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", capacity: int = LENGTH, with_ids: bool = False, added: bool = False) -> DataFrame:
     """One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset; with_ids adds the ids as little-endian uint32.
+    added: as in ``MemoEncoder``.
 
     Null texts are empty and have the end id alone.  Only documents longer than ``capacity`` are cut.  Pieces
     of one length are ranked by id, piece and checksum, so repeated rows differ at most in which of them goes where.
@@ -103,7 +104,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
     scratch = Scratch(spark, "packing")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    pieces = scratch.save(src.mapInArrow(_pieces(tokenizer, end_id, capacity, with_ids), schema), "pieces")
+    pieces = scratch.save(src.mapInArrow(_pieces(tokenizer, end_id, capacity, with_ids, added), schema), "pieces")
     lengths = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["length"]: r["n"] for r in lengths.collect()}  # at most one row for each length up to capacity
     plan, _ = sweep_plan(counts, capacity)

@@ -45,7 +45,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_digest(_table(spark, sf_dir, "documents"), tokenizer_path(BYTE_FILE), BYTE_END, BYTE_VOCABULARY)
+    return token_files.token_digest(_table(spark, sf_dir, "documents"), tokenizer_path(BYTE_FILE), BYTE_END, BYTE_VOCABULARY, added=True)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(WORD_FILE), WORD_END)
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(WORD_FILE), WORD_END, added=True)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

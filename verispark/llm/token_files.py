@@ -39,7 +39,7 @@ def _batches_of_texts(batches, most: int = BATCH_CHARS):
         yield ids, texts
 
 
-def _packer(path: str, end_id: int, first: int, shard_ids: int):
+def _packer(path: str, end_id: int, first: int, shard_ids: int, added: bool):
     def close(part, shard, doc_ids, runs, sizes):
         data = pack_shard(np.concatenate(runs), np.cumsum(sizes), first)
         none = np.array([d is None for d in doc_ids])
@@ -54,7 +54,7 @@ def _packer(path: str, end_id: int, first: int, shard_ids: int):
         enc = None
         doc_ids, runs, sizes, held = [], [], [], 0
         for ids, texts in _batches_of_texts(batches):
-            enc = enc or MemoEncoder(path)
+            enc = enc or MemoEncoder(path, added=added)
             flat, counts = enc.encode(texts)
             at = 0
             for d, n in zip(ids, counts.tolist(), strict=True):
@@ -73,15 +73,15 @@ def _packer(path: str, end_id: int, first: int, shard_ids: int):
     return run
 
 
-def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int, vocabulary: int, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, shard_ids: int = SHARD_IDS) -> None:
+def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int, vocabulary: int, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, shard_ids: int = SHARD_IDS, added: bool = False) -> None:
     """Writes every whole text, each followed by end_id.  Order: ascending id, null ids first; rows of the same id by text.
 
-    vocabulary: ids are below it. Null texts are empty and have the end id alone; an empty table gives an empty file."""
+    vocabulary: ids are below it.  added: as in ``MemoEncoder``.  Null texts are empty and have the end id alone; an empty table gives an empty file."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64("text")
     ranged = src.repartitionByRange(n, F.col("id").asc(), tie).sortWithinPartitions(F.col("id").asc(), tie)
-    ranged.mapInArrow(_packer(tokenizer, end_id, max(vocabulary, end_id + 1), shard_ids), SCHEMA).write.mode("overwrite").option("compression", "zstd").parquet(out)
+    ranged.mapInArrow(_packer(tokenizer, end_id, max(vocabulary, end_id + 1), shard_ids, added), SCHEMA).write.mode("overwrite").option("compression", "zstd").parquet(out)
 
 
 def _digest(batches):
@@ -110,8 +110,8 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") ->
     return rows.join(shards, ["part", "shard"]).select(F.col("id").alias(id_col), (F.col("at") + F.col("shard_at") + F.col("part_at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_digest(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_digest(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """Writes the files to the shared folder and reads them back."""
     scratch = Scratch(docs.sparkSession, "tokens")
-    write_token_files(docs, f"{scratch.base}/files", tokenizer, end_id, vocabulary, id_col, text_col)
+    write_token_files(docs, f"{scratch.base}/files", tokenizer, end_id, vocabulary, id_col, text_col, added=added)
     return read_token_files(docs.sparkSession, f"{scratch.base}/files", id_col)
