@@ -265,3 +265,11 @@ def test_documents_shorter_than_the_item_they_hold(gone):
     want = decontaminate.similarity(Counter(decontaminate.shingles_of(words)), Counter(decontaminate.shingles_of(item.split())))
     assert want >= 0.8 and index.matches(" ".join(words), 0.8) == [(7, 0, len(words), want)]
     assert index.matches(" ".join(words[:30]), 0.8) == []
+
+
+def test_long_weak_parts_are_linked_whole(spark):
+    key, login, url = "aB3dE5gH7jK" * 8, "login=" + "n" * 100, "db://h.example/" + "p" * 400
+    rows = [(1, f"{url} {key} end"), (2, f"{login} and {key}+/{key}"), (3, f"{key} {key}"), (4, f"{key[:64]} {url}"), (5, f"{login} {'pad ' * 80}{key * 9} {url}")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: {dict(rows)[r["doc_id"]][s["start"] : s["end"]] for s in r["linked"]} for r in secret_scan.scan_secrets(d).collect()}
+    assert got == {1: {url, key}, 2: {login, f"{key}+/{key}"}, 3: set(), 4: {key[:64], url}, 5: {key * 9, url}}

@@ -23,9 +23,9 @@ HEX = r"[0-9a-f]{16,}"
 BASE_KINDS = ("assign", "access", "hex")
 #: Weak parts: kind, role, pattern.
 WEAK = [
-    ("login", "id", r"""(?i)\b(?:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,64}"""),
-    ("opaque", "secret", r"\b(?=[A-Za-z+/_-]*[0-9])(?=[0-9a-z+/_-]*[A-Z])(?=[0-9A-Z+/_-]*[a-z])[A-Za-z0-9+/_-]{20,64}(?![A-Za-z0-9+/_-])"),
-    ("endpoint", "endpoint", r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{3,200}"),
+    ("login", "id", r"""(?i)\b(?:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}"""),
+    ("opaque", "secret", r"\b(?=[A-Za-z+/_-]*[0-9])(?=[0-9a-z+/_-]*[A-Z])(?=[0-9A-Z+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}"),
+    ("endpoint", "endpoint", r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{3,}"),
 ]
 SCOPE = 256
 
