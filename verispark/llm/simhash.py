@@ -315,6 +315,24 @@ def _similar(least: float):
     return run
 
 
+def _likely(least: float):
+    """Pairs whose first shingles leave room for the similarity.
+
+    Similar sets share c shingles at least, so each misses few of the other's; of the prefix that ends first in the common order, all
+    shared ones are in the other prefix as well."""
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for n, m, x, y in zip(*[c.to_pylist() for c in b.columns[2:]], strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                c = least / (1 + least) * (n + m) - 1e-6
+                keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= c + min(len(x) - n, len(y) - m))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
+
+    return run
+
+
 def _common_shingles(src: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of shingles that a sample of the texts has more than once, ascending, and their ranks from 1, the most common last.
 
@@ -454,14 +472,19 @@ def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(_common_shingles(src, shingle))  # COMMON at most
-    prints = scratch.save(src.mapInArrow(_prefixes(shingle, least, shared), "id long, d0 long, d1 long, n int, first binary"), "prefixes")
-    classes = scratch.save(prints.groupBy("d0", "d1").agg(F.min("id").alias("id")).filter("id is not null"), "classes")
-    one = prints.join(classes, ["id", "d0", "d1"], "left_semi").select("id", "n", "first")
+    every = scratch.save(src.mapInArrow(_prefixes(shingle, least, shared), "id long, d0 long, d1 long, n int, first binary"), "prefixes")
+    classes = scratch.save(every.groupBy("d0", "d1").agg(F.min("id").alias("id")).filter("id is not null"), "classes")
+    one = scratch.save(every.join(classes, ["id", "d0", "d1"], "left_semi").select("id", "n", "first"), "firsts")
+    prints = scratch.save(every.select("id", "d0", "d1"), "digests")
+    scratch.drop(every)
     packed = one.mapInArrow(_dealt(4 * parts), "part int, members binary").repartition(parts, "part")
     met = scratch.save(packed.mapInArrow(_met, "h long, id long, at int, n int"), "members")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = scratch.save(pairs.distinct(), "pairs")
+        firsts = lambda i, n, x: one.select(F.col("id").alias(i), F.col("n").alias(n), F.col("first").alias(x))
+        both = pairs.join(firsts("a", "n", "x"), "a").join(firsts("b", "m", "y"), "b")
+        pairs = scratch.save(both.select("a", "b", "n", "m", "x", "y").mapInArrow(_likely(least), "a long, b long").distinct(), "likely")
         ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         sets = scratch.save(src.join(ends, "id", "left_semi").mapInArrow(_sets(shingle), "id long, set binary"), "sets")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
@@ -476,7 +499,9 @@ def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             rows = met.join(connected_components(links, scratch).withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
         rows = scratch.save(rows, "labelled")
         mixed = rows.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("h", "size")
-        return scratch.save(rows.join(mixed, "h"), "mixed")
+        out = scratch.save(rows.join(mixed, "h"), "mixed")
+        scratch.drop(rows)
+        return out
 
     links, rows = None, labelled(None)
     for r in range(ROUNDS):
@@ -487,7 +512,10 @@ def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         star = crowded.join(hubs, "h").filter("label != hub.label").select(F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b"))
         found = confirm(star)
         links = found if links is None else links.unionByName(found)
+        scratch.drop(rows)
         rows = labelled(links)
+        if found.limit(1).count() == 0:
+            break
     blocks = F.ceil(F.col("size") / block).cast("int")
     dealt = rows.withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     keys = ["h", "i", "j"]
