@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -6,7 +7,7 @@ from tokenizers import Tokenizer
 
 from verispark.llm import packing, queries, token_files
 from verispark.llm.memo_encoder import MemoEncoder
-from verispark.llm.repair import Shard, pack_shard
+from verispark.llm.repair import Shard, compress, pack_shard
 
 ODD = ["", " ", "  a  b\n\nc ", "It's 123 don't\t\tx", "ΣΑΣ İstanbul", "日本語 テキスト한국", "a\x1cb c", "école naïve", "<|endoftext|> hi", "😀 emoji 👍🏽", " x y", "ﬁne ½ ² Ⅷ", " 's", "x'S 'RE", "é café", "a\r\n\r\nb", "\x00\x7f", "ßÿþ × ÷ ª"]
 
@@ -17,6 +18,31 @@ def real(name):
     return t
 
 
+@pytest.mark.parametrize("name", [queries.BYTE_FILE, queries.WORD_FILE])
+def test_memory_gives_the_ids_of_a_plain_call_over_all_planes(name):
+    rng = random.Random(9)
+    enc, tok = MemoEncoder(queries.tokenizer_path(name), most=300, added=True), Tokenizer.from_file(queries.tokenizer_path(name))
+    blocks = [(0, 0x7F), (0, 0x250), (0x250, 0x600), (0x600, 0x1100), (0x1100, 0x2C00), (0x2C00, 0xD800), (0xE000, 0x10000), (0x10000, 0x20000), (0x20000, 0x110000)]
+    for _ in range(40):
+        texts = ["".join(chr(rng.randrange(*blocks[0 if rng.random() < 0.6 else rng.randrange(len(blocks))])) for _ in range(rng.randrange(60))) + rng.choice(["", "", "<|endoftext|>", " <|startoftext|> x", "\u0301"]) for _ in range(30)]
+        ids, n = enc.encode(texts)
+        at = np.r_[0, np.cumsum(n)]
+        assert [ids[a:z].tolist() for a, z in zip(at, at[1:], strict=False)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(enc.start) <= 300 + len(enc.passing)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_no_pair_stays_frequent(seed):
+    rng = np.random.default_rng(seed)
+    ids = np.r_[rng.zipf(1.4, 30_000).clip(3, 2000), np.full(3000, 9), np.tile([5, 5, 5, 6], 200)].astype(np.int32)
+    ends = np.r_[np.sort(rng.choice(len(ids), 40)), len(ids)]
+    seq, seq_ends, rules = compress(ids, ends, 2001, least=6)
+    inner = np.ones(len(seq), bool)
+    inner[seq_ends[seq_ends > 0] - 1] = False
+    codes, n = np.unique(seq[:-1][inner[:-1]].astype(np.int64) << 32 | seq[1:][inner[:-1]], return_counts=True)
+    assert n.max() < 6 and len(rules) < 6000 and (rules.max(axis=1) < 2001 + np.arange(len(rules))).all()
+
+
 @pytest.mark.parametrize("name", [queries.BYTE_FILE, queries.WORD_FILE])
 def test_memory_gives_the_librarys_ids(name):
     enc, tok = MemoEncoder(queries.tokenizer_path(name), most=20), real(name)
@@ -33,7 +59,7 @@ def test_shards_round_trip_at_random(seed):
     ids = rng.zipf(1.3, 20_000).clip(3, 3000).astype(np.int32)
     ids[5000:6000] = 7
     ends = np.r_[0, 0, np.sort(rng.choice(20_000, 60)), 20_000, 20_000]
-    data = pack_shard(ids, ends, 3001, least=4, rounds=6)
+    data = pack_shard(ids, ends, 3001, least=4)
     s = Shard(data)
     assert (s.all_ids() == ids).all() and len(s.rules) and s.docs == len(ends)
     starts = np.r_[0, ends[:-1]]

@@ -3,8 +3,8 @@
 Pieces are sorted by length and open sequences by gap. A sweep takes the longest pieces, finds for them the successor
 (the smallest gap that holds them), resolves conflicts by rank (the first pieces take the first sequences),
 updates the gaps and repeats.  Lengths and gaps are whole numbers up to the sequence length, so both sorted
-lists are held run-length encoded: a sweep matches whole runs, and the plan has a bounded number of rows whatever
-the number of documents.  The pieces themselves stay distributed: each gets its rank within its length from partial counts,
+lists are held run-length encoded: a sweep matches whole runs.  The plan has at most 11 * 3 * 2,048 rows whatever the number of
+documents: a length makes three runs at most, and each use of a run more than halves its gap.  The pieces themselves stay distributed: each gets its rank within its length from partial counts,
 and an equi-join on the length with the plan gives its sequence and its place.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verispark.llm.common import Scratch
-from verispark.llm.memo_encoder import MemoEncoder
+from verispark.llm.memo_encoder import shared
 from verispark.llm.token_files import _batches_of_texts
 
 LENGTH = 2048
@@ -72,7 +72,7 @@ def _pieces(path: str, end_id: int, capacity: int, with_ids: bool, added: bool):
     def run(batches):
         enc = None
         for ids, texts in _batches_of_texts(batches):
-            enc = enc or MemoEncoder(path, added=added)
+            enc = enc or shared(path, added)
             flat, counts = enc.encode(texts)
             out = ([], [], [], [], [], [])
             at = 0

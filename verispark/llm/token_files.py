@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verispark.llm.common import Scratch
-from verispark.llm.memo_encoder import MemoEncoder
+from verispark.llm.memo_encoder import shared
 from verispark.llm.repair import Shard, pack_shard
 
 SCHEMA = "part int, shard int, n_docs long, n_ids long, doc_ids binary, none binary, data binary"
 SHARD_IDS = 1 << 20
+#: Characters of text of a range at most, on average: a larger table gets more ranges.
+RANGE_CHARS = 1 << 27
 BATCH_CHARS = 1 << 21
 
 
@@ -54,7 +56,7 @@ def _packer(path: str, end_id: int, first: int, shard_ids: int, added: bool):
         enc = None
         doc_ids, runs, sizes, held = [], [], [], 0
         for ids, texts in _batches_of_texts(batches):
-            enc = enc or MemoEncoder(path, added=added)
+            enc = enc or shared(path, added)
             flat, counts = enc.encode(texts)
             at = 0
             for d, n in zip(ids, counts.tolist(), strict=True):
@@ -74,13 +76,16 @@ def _packer(path: str, end_id: int, first: int, shard_ids: int, added: bool):
 
 
 def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int, vocabulary: int, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, shard_ids: int = SHARD_IDS, added: bool = False) -> None:
-    """Writes every whole text, each followed by end_id.  Order: ascending id, null ids first; rows of the same id by text.
+    """Writes every whole text, each followed by end_id.  Order: ascending id, null ids first; rows of the same id by a 64-bit hash of the text (in any order where that collides,
+    which changes neither ids nor counts of a row).
 
     vocabulary: ids are below it.  added: as in ``MemoEncoder``.  Null texts are empty and have the end id alone; an empty table gives an empty file."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not parts:
+        chars = src.agg(F.sum(F.length("text")).alias("n")).head()["n"] or 0
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // RANGE_CHARS))
     tie = F.xxhash64("text")
-    ranged = src.repartitionByRange(n, F.col("id").asc(), tie).sortWithinPartitions(F.col("id").asc(), tie)
+    ranged = src.repartitionByRange(parts, F.col("id").asc(), tie).sortWithinPartitions(F.col("id").asc(), tie)
     ranged.mapInArrow(_packer(tokenizer, end_id, max(vocabulary, end_id + 1), shard_ids, added), SCHEMA).write.mode("overwrite").option("compression", "zstd").parquet(out)
 
 
