@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,16 +9,16 @@ from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``; where it is unset, the warehouse, which executors share as well."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
-    Where it is unset a local session uses a temporary folder and a cluster its warehouse.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-        return f"{tempfile.gettempdir()}/verispark-{spark.sparkContext.applicationId}"
-    return spark.conf.get("spark.sql.warehouse.dir")
+
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
 
 
 class Scratch:
@@ -68,9 +67,5 @@ def crc_mod(key: Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def rows_of(df: DataFrame) -> int:
-    return df.count()
-
-
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verispark.llm.common import Scratch, is_empty
+from verispark.llm.common import Scratch, fresh, is_empty
 
 BLANKS = r"[\x20\x09-\x0D]+"
 BLOCK_BYTES = 4096
@@ -88,10 +88,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows that stay, with all their columns."""
-    found = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    own = F.sha2(normalised(F.col(text_col)).cast("binary"), 256)
-    out = docs.withColumn("_sha_of", own).join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha_of") == F.col("_sha")), "left_semi")
-    if not is_empty(docs.groupBy(id_col).count().filter("count > 1")):
-        out = out.dropDuplicates([id_col, "_sha_of"])
-    return out.drop("_sha_of")
+    """The input rows that stay, with all their columns.
+
+    The block names decide.  Where ids are unique, rows that go are found again by their id; where some repeat, rows that stay are found
+    by id and digest, and of rows that agree in both one stays."""
+    found = exact_groups(docs, id_col, text_col)
+    name, sha = fresh(docs, "found"), fresh(docs, "found_sha")
+    if is_empty(docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")):
+        gone = found.filter("not kept").select(F.col(id_col).alias(name))
+        return docs.join(gone, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
+    own = fresh(docs, "own_sha")
+    kept = found.filter("kept").select(F.col(id_col).alias(name), F.col("text_sha256").alias(sha))
+    out = docs.withColumn(own, F.sha2(normalised(F.col(text_col)).cast("binary"), 256)).join(kept, F.col(id_col).eqNullSafe(F.col(name)) & (F.col(own) == F.col(sha)), "left_semi")
+    return out.dropDuplicates([id_col, own]).drop(own)

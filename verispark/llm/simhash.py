@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verispark.llm.common import Scratch
+from verispark.llm.common import Scratch, fresh
 from verispark.llm.components import connected_components
 
 RADIUS = 3
@@ -34,6 +34,8 @@ SEED = 42
 #: CROWD texts are first joined by stars, in so many rounds, and dealt in blocks of BLOCK.
 SAMPLED, COMMON = 32, 100_000
 CROWD, ROUNDS, BLOCK = 64, 3, 1024
+#: Rows of a task at most, on average: classes that become fifteen rows, members of 24 bytes.
+A_TASK = 2_000_000
 
 
 def covering_masks(radius: int = RADIUS) -> list[int]:
@@ -110,17 +112,17 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
 
 def _linked(a: np.ndarray, b: np.ndarray, labels: np.ndarray) -> None:
-    """Joins labels along the pairs (a, b) until they are stable."""
-    while len(a):
-        low = np.minimum(labels[a], labels[b])
-        before = labels.copy()
-        np.minimum.at(labels, before[a], low)
-        np.minimum.at(labels, before[b], low)
-        np.minimum.at(labels, a, low)
-        np.minimum.at(labels, b, low)
-        labels[:] = labels[labels]
-        keep = labels[a] != labels[b]
-        a, b = a[keep], b[keep]
+    """Joins labels along the pairs (a, b).  Every label is the smallest member's, before and after; only such roots are hooked, and every pair
+    is looked at again until all have equal ends."""
+    while True:
+        x, y = labels[a], labels[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(labels, np.maximum(x, y), np.minimum(x, y))
+        while (labels[labels] != labels).any():
+            labels[:] = labels[labels]
 
 
 def _forest(fps: np.ndarray, runs: np.ndarray, radius: int) -> np.ndarray:
@@ -148,64 +150,6 @@ def _forest(fps: np.ndarray, runs: np.ndarray, radius: int) -> np.ndarray:
     return labels
 
 
-def _hub_edges(fps: np.ndarray, runs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) by index: each member with the best linked member of its neighbourhood, and links that join what is then still apart.
-
-    All of them are links; the member with the most links, as an original among its edited copies has, is met directly."""
-    n = len(fps)
-    starts = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
-    sizes = np.diff(np.r_[starts, n])
-    labels, a_out, b_out = np.arange(n), [], []
-
-    def settle(a: np.ndarray, b: np.ndarray) -> None:
-        while True:
-            apart = labels[a] != labels[b]
-            a, b = a[apart], b[apart]
-            if not len(a):
-                return
-            key = np.minimum(labels[a], labels[b]) * n + np.maximum(labels[a], labels[b])
-            _, at = np.unique(key, return_index=True)
-            a_out.append(a[at])
-            b_out.append(b[at])
-            _linked(a[at], b[at], labels)
-
-    small = np.repeat(sizes <= 64, sizes)
-    pairs = [(np.zeros(0, int), np.zeros(0, int))]
-    for d in range(1, int(sizes[sizes <= 64].max(initial=1))):
-        i = np.flatnonzero((runs[:-d] == runs[d:]) & small[:-d])
-        if not len(i):
-            break
-        i = i[np.bitwise_count(fps[i] ^ fps[i + d]) <= radius]
-        pairs.append((i, i + d))
-    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    degree = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
-    worth = degree.astype(np.int64) * n + np.arange(n)[::-1]
-    best = np.full(n, -1, np.int64)
-    np.maximum.at(best, a, worth[b])
-    np.maximum.at(best, b, worth[a])
-    up = np.flatnonzero(best > worth)
-    hub = n - 1 - best[up] % n
-    a_out.append(up)
-    b_out.append(hub)
-    _linked(up, hub, labels)
-    settle(a, b)
-    for s, m in zip(starts[sizes > 64], sizes[sizes > 64], strict=True):
-        own = fps[s : s + m]
-        near = lambda r: np.bitwise_count(own[r : r + 128, None] ^ own[None, :]) <= radius  # noqa: B023, E731
-        deg = np.concatenate([near(r).sum(axis=1) for r in range(0, m, 128)])
-        value = deg.astype(np.int64) * m + np.arange(m)[::-1]
-        for r in range(0, m, 128):
-            top = np.where(near(r), value[None, :], -1).argmax(axis=1)
-            x = np.arange(r, r + len(top))
-            a_out.append(x[top != x] + s)
-            b_out.append(top[top != x] + s)
-            _linked(x + s, top + s, labels)
-        for r in range(0, m, 128):
-            x, y = np.nonzero(near(r))
-            settle(x + s + r, y + s)
-    return np.concatenate(a_out), np.concatenate(b_out)
-
-
 def _edges_of(radius: int):
     """Rows sorted by cell become edges; the rows of a cell may span batches."""
 
@@ -244,7 +188,7 @@ def _edges_of(radius: int):
 def link_fingerprints(classes: DataFrame, scratch: Scratch, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
     """classes: fam int, fp long, rep long.  Edges (a, b) between reps whose fingerprints of a family link: a spanning forest of each cell."""
     tables = F.array(*[F.struct(F.lit(i).alias("tab"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(covering_masks(radius))])
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() // A_TASK))
     spread = classes.repartition(parts, "fam", "fp")  # a small table otherwise comes in a few tasks, and each row becomes fifteen
     rows = spread.select("fam", "fp", "rep", F.inline(tables)).withColumn("tab", F.col("tab") + F.col("fam") * 1000)
     crowded = scratch.save(rows.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
@@ -378,10 +322,13 @@ def _prefixes(k: int, least: float, shared):
 _MEMBER = np.dtype([("h", "<u8"), ("id", "<i8"), ("at", "<i4"), ("n", "<i4")])
 
 
-def _dealt(parts: int):
-    """Every first shingle as a member (hash, id, its place, size of the set), packed by the part of the hash."""
+def _dealt(parts: int, shared):
+    """Every first shingle as a member (hash, id, its place, size of the set), packed by the part of the hash.
+
+    Members of the common shingles have the part -1: a group of any size may share such a shingle, and so their rows never meet in one task."""
 
     def run(batches):
+        common = shared.value[0]
         for b in batches:
             firsts = [np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist()]
             lengths = np.array([len(x) for x in firsts], np.int64)
@@ -393,6 +340,8 @@ def _dealt(parts: int):
             m["n"] = np.repeat(b.column(1).to_numpy(), lengths)
             m["at"] = np.arange(len(m)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             part = (m["h"] % np.uint64(parts)).astype(np.int32)
+            if len(common):
+                part[common[np.minimum(np.searchsorted(common, m["h"]), len(common) - 1)] == m["h"]] = -1
             order = np.argsort(part, kind="stable")
             m, part = m[order], part[order]
             cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
@@ -401,17 +350,26 @@ def _dealt(parts: int):
     return run
 
 
+def _rows_of(m: np.ndarray):
+    for a in range(0, len(m), 1 << 16):
+        x = m[a : a + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(x["h"].astype(np.int64)), *[pa.array(x[c].copy()) for c in ("id", "at", "n")]], names=["h", "id", "at", "n"])
+
+
+def _unpacked(batches):
+    for b in batches:
+        for x in b.column(1).to_pylist():
+            yield from _rows_of(np.frombuffer(x, _MEMBER))
+
+
 def _met(batches):
-    """Members whose shingle is another's as well."""
+    """Members whose shingle is another's as well.  A shingle that is not among the common ones has few members."""
     packed = [x for b in batches for x in b.column(1).to_pylist()]
     m = np.frombuffer(b"".join(packed), _MEMBER)
     del packed
     m = m[np.argsort(m["h"], kind="stable")]
     same = m["h"][1:] == m["h"][:-1]
-    m = m[np.r_[False, same] | np.r_[same, False]] if len(m) else m
-    for a in range(0, len(m), 1 << 16):
-        x = m[a : a + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(x["h"].astype(np.int64)), *[pa.array(x[c].copy()) for c in ("id", "at", "n")]], names=["h", "id", "at", "n"])
+    yield from _rows_of(m[np.r_[False, same] | np.r_[same, False]] if len(m) else m)
 
 
 def _candidates(least: float):
@@ -470,15 +428,22 @@ def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     scratch = Scratch(spark, "verified")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(_common_shingles(src, shingle))  # COMMON at most
     every = scratch.save(src.mapInArrow(_prefixes(shingle, least, shared), "id long, d0 long, d1 long, n int, first binary"), "prefixes")
     classes = scratch.save(every.groupBy("d0", "d1").agg(F.min("id").alias("id")).filter("id is not null"), "classes")
     one = scratch.save(every.join(classes, ["id", "d0", "d1"], "left_semi").select("id", "n", "first"), "firsts")
     prints = scratch.save(every.select("id", "d0", "d1"), "digests")
     scratch.drop(every)
-    packed = one.mapInArrow(_dealt(4 * parts), "part int, members binary").repartition(parts, "part")
-    met = scratch.save(packed.mapInArrow(_met, "h long, id long, at int, n int"), "members")
+    members = one.agg(F.sum(F.length("first"))).head()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-members // (8 * A_TASK)))
+    packed = one.mapInArrow(_dealt(4 * parts, shared), "part int, members binary")
+    if shared.value[0].size:
+        packed = scratch.save(packed, "packed")
+        common = packed.filter("part < 0").mapInArrow(_unpacked, "h long, id long, at int, n int")
+        met = scratch.save(packed.filter("part >= 0").repartition(parts, "part").mapInArrow(_met, "h long, id long, at int, n int").unionByName(common), "members")
+        scratch.drop(packed)
+    else:
+        met = scratch.save(packed.repartition(parts, "part").mapInArrow(_met, "h long, id long, at int, n int"), "members")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = scratch.save(pairs.distinct(), "pairs")
@@ -528,6 +493,7 @@ def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows whose id is the smallest of their group, with all their columns; rows with a null id stay."""
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_id"))
-    return docs.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
+    """The rows whose id is the smallest of their group, with all their columns; rows with a null id stay.  Rows that repeat an id go or stay together."""
+    gone = fresh(docs, "gone")
+    ids = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone))
+    return docs.join(ids, F.col(id_col) == F.col(gone), "left_anti")
