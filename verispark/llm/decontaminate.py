@@ -12,6 +12,7 @@ blocks of bounded size, each against all documents, so its size is no limit.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -147,9 +148,20 @@ class Index:
                 best[i] = (s, a + w)
 
 
-def _finder(block: list[tuple[int, str]], k: int, radius: int, least: float):
+_INDEXES: dict[tuple, Index] = {}
+
+
+def _index_of(key: str, shared, k: int, radius: int) -> Index:
+    """The index of a block, made once in a Python worker; the last one is kept."""
+    if (key, k, radius) not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[key, k, radius] = Index(shared.value, k, radius)
+    return _INDEXES[key, k, radius]
+
+
+def _finder(key: str, shared, k: int, radius: int, least: float):
     def run(batches):
-        index = Index(block, k, radius)
+        index = _index_of(key, shared, k, radius)
         for b in batches:
             out = ([], [], [], [], [])
             for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -161,6 +173,17 @@ def _finder(block: list[tuple[int, str]], k: int, radius: int, least: float):
     return run
 
 
+def _without(at: int, key: str, shared, k: int, radius: int, least: float):
+    """The rows whose text, the column number ``at``, holds no item."""
+
+    def run(batches):
+        index = _index_of(key, shared, k, radius)
+        for b in batches:
+            yield b.filter(pa.array([not index.matches(t.as_py(), least) for t in b.column(at)], pa.bool_()))
+
+    return run
+
+
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
     block, chars = [], 0
     for r in benchmark.select(item_col, text_col).filter(F.col(text_col).isNotNull()).orderBy(item_col).toLocalIterator():
@@ -177,7 +200,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """One row for each document and item it holds: id, item_id, first_word, n_words, similarity of the best window.
 
     Words are blank-separated and lower-cased.  Items without words never match; items of fewer words than a shingle are one
-    shingle.  Null texts hold nothing; rows with a null id are searched like others.
+    shingle.  Null texts hold nothing; rows with a null id are searched like others, and each of repeated rows gives its rows.  Of windows of equal
+    similarity the first counts.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "leaks")
@@ -185,11 +209,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     schema = "id long, item_id long, first_word int, n_words int, similarity double"
     found = spark.createDataFrame([], schema)
     for block in _blocks(benchmark, item_col, text_col):
-        found = found.unionByName(scratch.save(src.mapInArrow(_finder(block, shingle, radius, least), schema), "found"))
+        shared = spark.sparkContext.broadcast(block)  # BLOCK_CHARS and one item at most
+        found = found.unionByName(scratch.save(src.mapInArrow(_finder(uuid.uuid4().hex, shared, shingle, radius, least), schema), "found"))
     return found.withColumnRenamed("id", id_col)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows that hold no benchmark item, with all their columns; rows with a null id stay."""
-    gone = find_leaks(docs, benchmark, id_col, **how).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", shingle: int = SHINGLE, radius: int = RADIUS, least: float = LEAST) -> DataFrame:
+    """The rows that hold no benchmark item, with all their columns.  Each row is judged by its own text, so null and repeated ids make no difference."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "clean")
+    for n, block in enumerate(_blocks(benchmark, item_col, text_col)):
+        if n:
+            docs = scratch.save(docs, "block")
+        shared = spark.sparkContext.broadcast(block)  # BLOCK_CHARS and one item at most
+        docs = docs.mapInArrow(_without(docs.columns.index(text_col), uuid.uuid4().hex, shared, shingle, radius, least), docs.schema)
+    return docs
