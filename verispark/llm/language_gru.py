@@ -12,9 +12,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verispark.llm.common import fresh
+
 SAMPLE = 400
 SPOTS = 6
 WINDOW = 64
@@ -24,6 +27,8 @@ BATCH = 256
 ROWS = 2048
 UNKNOWN = "und"
 LETTER = r"\p{L}"
+#: Probability of the predicted language below which a document is rejected.
+LEAST = 0.5
 
 
 def _init(hidden: int, classes: int, rng) -> dict[str, np.ndarray]:
@@ -220,13 +225,33 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
 
 
 def identify(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """id, lang_pred and score for every row; ``und`` with score 0 where the text is null or has no letter."""
+    """id, lang_pred and score for every row; ``und`` with score 0 where the text is null or has no letter.
+
+    Repeated rows each get their row, an empty table gives an empty result, and a text of any length is read in pieces of a megabyte."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few kilobytes
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(F.rlike(F.col(text_col), F.lit(LETTER)), F.lit(False)).alias("letters"))
     return src.mapInArrow(_label(shared, window), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def drop_rejected(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that have a language, with all their columns; rows with a null id stay if their text has a letter."""
-    gone = identify(docs, model, id_col, text_col).filter(F.col("lang_pred") == UNKNOWN).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & ~F.coalesce(F.rlike(F.col(text_col), F.lit(LETTER)), F.lit(False)), "left_anti")
+def _accepted(shared, window: int, at: int, least: float):
+    """The rows whose text has a letter and one language with a probability of at least ``least``; the last column says whether there is a letter."""
+    label = _label(shared, window)
+
+    def run(batches):
+        for b in batches:
+            asked = pa.RecordBatch.from_arrays([pa.array(range(b.num_rows), pa.int64()), b.column(at), b.column(b.num_columns - 1)], names=["id", "text", "letters"])
+            (got,) = label([asked])
+            sure = pc.and_(pc.not_equal(got.column(1), UNKNOWN), pc.greater_equal(got.column(2), least)) if shared.value[1] else b.column(b.num_columns - 1)
+            yield b.filter(sure).select(list(range(b.num_columns - 1)))
+
+    return run
+
+
+def drop_rejected(docs: DataFrame, model: tuple, text_col: str = "text", least: float = LEAST, window: int = WINDOW) -> DataFrame:
+    """The rows whose text the network gives one language, with all their columns.
+
+    Rows go whose text is null or has no letter, and rows whose pooled probability stays below ``least``: no language then has more than all others.
+    Each row is judged by its own text, so null and repeated ids make no difference.  Without languages to learn from, rows with a letter stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few kilobytes
+    asked = docs.withColumn(fresh(docs, "letters"), F.coalesce(F.rlike(F.col(text_col), F.lit(LETTER)), F.lit(False)))
+    return asked.mapInArrow(_accepted(shared, window, docs.columns.index(text_col), least), docs.schema)
