@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verispark.llm.common import Scratch
+
 SAMPLE = 2500
 SLOTS = 1 << 17
 THRESHOLD = 0.3
@@ -95,15 +97,26 @@ def _logistic(margin: np.ndarray, label: np.ndarray, prior: np.ndarray) -> tuple
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, learn: Column, sample: int) -> DataFrame:
-    """text, label and weight of at most ``sample`` rows a label; weight undoes the equal share."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)").dropDuplicates(["id"]).filter(learn)
-    order = [F.xxhash64("id"), F.col("id")]
-    # first within buckets, so that no task ranks all rows of a label
-    cells = Window.partitionBy("label", "cell").orderBy(*order)
-    few = known.withColumn("cell", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(64))).withColumn("nth", F.row_number().over(cells)).filter(F.col("nth") <= sample)
-    picked = few.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy(*order))).filter(F.col("nth") <= sample).drop("nth", "cell")
-    sizes = known.groupBy("label").agg(F.count(F.lit(1)).alias("of"))
-    picked = picked.join(F.broadcast(sizes), "label")  # two rows
+    """text, label and weight of the ``sample`` rows of each label that come first by a hash of the id; weight undoes the equal share.
+
+    An id with labels that differ is not learned from, and one that repeats counts once; so does each of the documents that share an id.
+    The first rows are found by a bound on the hash, drawn from the counts, and then by a top-k of what lies below, so no task sorts a label."""
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1) and id is not null")
+    known = known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other").filter(learn)
+    scratch = Scratch(labels.sparkSession, "labels")
+    known = scratch.save(known.withColumn("place", F.shiftrightunsigned(F.xxhash64("id"), 33)), "known")  # 0 to 2 ** 31 - 1
+    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    picked = None
+    for label, n in sorted(sizes.items()):
+        below = known.filter(F.col("label") == label)
+        bound = min(1 << 31, int((1.5 * sample + 64) / n * (1 << 31)) + 1)
+        near = below.filter(F.col("place") < bound)
+        if bound < 1 << 31 and near.count() >= sample:
+            below = near
+        first = below.orderBy("place", "id").limit(sample).select("id", "label", F.lit(n).cast("long").alias("of"))
+        picked = first if picked is None else picked.unionByName(first)
+    if picked is None:
+        picked = known.select("id", "label", F.lit(0).cast("long").alias("of")).limit(0)
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "id")  # 2 * sample rows
 
 
@@ -166,7 +179,9 @@ def _scorer(shared, slots: int):
 
 
 def score_quality(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, threshold: float = THRESHOLD) -> DataFrame:
-    """id, score (P(label 1)) and predicted for every row; null texts are empty and are scored too."""
+    """id, score (P(label 1)) and predicted for every row; null texts are empty and are scored too.
+
+    Repeated rows each get their score, an empty table gives an empty result, and a text of any length is read in pieces of a megabyte."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one megabyte: two floats a slot
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_scorer(shared, slots), "id long, score double")
     return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
