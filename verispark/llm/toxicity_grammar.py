@@ -12,13 +12,19 @@ document's features are the counts of its clauses by their strongest event, and
 Words are never scored on their own: an event counts once for its clause, with what stands around it.
 
 The lexicon has fixed seeds and the terms learned from the labelled sample: words, or beginnings of words, that keep to the texts with
-label 1.  The model is fitted on a bounded sample: for each label the ``SAMPLE`` rows that come first by a hash of the id.
-Term counts are aggregated on the executors; the driver gets the terms that pass, ``TERMS`` at most.
+label 1.  A learned term is a threat if a target follows it more often than it goes before, as in "will V you", and an insult otherwise, as in
+"you are N".  Targets, negations and verbs of saying are closed classes of words that clean texts have as well, so a label says nothing about them and
+they stay as seeds.  The model is fitted on a bounded sample: for each label the ``SAMPLE`` rows that come first by a hash of the id.
+Term counts are aggregated on the executors; the driver gets the terms that pass.  Each is in a ``SHARE`` of the sample's texts of label 1, so their number
+is bounded by the words of those texts.
+
+A clause is read to its real ends, however far they are: the automaton's state is bounded, and each clause is read once.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from itertools import product
 
 import ahocorasick
@@ -30,7 +36,6 @@ from pyspark.sql import functions as F
 from verispark.llm.quality_nbsvm import labelled_sample
 
 SAMPLE = 4000
-TERMS = 2000
 SUPPORT = 5
 SHARE = 0.01
 PRECISION = 0.93
@@ -129,12 +134,16 @@ class Grammar:
         """(start, end, event, number of events) of the clauses that hold an event, in the lower-cased text."""
         found, done = [], -1
         low = text.lower()
-        for start, end in self._attacks(low) if len(self.heads) else ():
+        attacks = list(self._attacks(low)) if len(self.heads) else []
+        stops = [x.span() for x in CLAUSE.finditer(low)] if attacks else []
+        opened, closed = [z for _, z in stops], [a for a, _ in stops]
+        for start, end in attacks:
             if start < done:
                 continue
-            a = max((x.end() for x in CLAUSE.finditer(low, max(0, start - 2000), start)), default=max(0, start - 2000))
-            z = CLAUSE.search(low, end)
-            done = min(z.start() if z else len(low), end + 2000)
+            i = bisect_right(opened, start)
+            a = opened[i - 1] if i else 0
+            j = bisect_left(closed, end)
+            done = closed[j] if j < len(closed) else len(low)
             e, k = self.clause(low[a:done])
             if e:
                 found.append((a, done, e, k))
@@ -161,8 +170,41 @@ def _featuriser(lexicon):
     return run
 
 
-def learn_lexicon(sample: DataFrame, terms: int = TERMS, support: int = SUPPORT, share: float = SHARE, precision: float = PRECISION) -> tuple[dict[str, str], dict[str, str]]:
-    """Words and beginnings of four to six letters that keep to label 1, in ``support`` or a ``share`` of its texts at least.  sample: id, text, label, of."""
+def _sides(words: set[str], stems: set[str]):
+    """For each learned term how often a target follows it within ``NEAR`` words, and how often one goes before."""
+    targets = set(SEEDS["target"].split())
+    lengths = sorted({len(x) for x in stems})
+    token = re.compile(WORD)
+
+    def run(batches):
+        counts: dict[tuple[bool, str], list[int]] = {}
+        for b in batches:
+            for t in b.column(0):
+                for clause in CLAUSE.split((t.as_py() or "").lower()):
+                    xs = token.findall(clause)
+                    near = [i for i, w in enumerate(xs) if w in targets]
+                    if not near:
+                        continue
+                    for i, w in enumerate(xs):
+                        keys = [(False, w)] * (w in words) + [(True, w[:n]) for n in lengths if w[:n] in stems][:1]
+                        if keys:
+                            k, j = bisect_right(near, i), bisect_left(near, i)
+                            after = k < len(near) and near[k] - i <= NEAR
+                            before = j > 0 and i - near[j - 1] <= NEAR
+                            for key in keys:
+                                own = counts.setdefault(key, [0, 0])
+                                own[0] += after
+                                own[1] += before
+        rows = [(s, x, a, z) for (s, x), (a, z) in counts.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.bool_(), pa.string(), pa.int64(), pa.int64()))], names=["stem", "term", "after", "before"])
+
+    return run
+
+
+def learn_lexicon(sample: DataFrame, support: int = SUPPORT, share: float = SHARE, precision: float = PRECISION) -> tuple[dict[str, str], dict[str, str]]:
+    """Words and beginnings of four to six letters that keep to label 1, in ``support`` or a ``share`` of its texts at least, each with its
+    role.  sample: id, text, label, of.  Copies of a text count once."""
+    sample = sample.dropDuplicates(["label", "text"])
     base = {w: s for s, ws in SEEDS.items() for w in ws.split()}
     support = max(support, int(share * sample.filter("label = 1").count()))
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
@@ -171,15 +213,16 @@ def learn_lexicon(sample: DataFrame, terms: int = TERMS, support: int = SUPPORT,
     cut = F.array_distinct(F.flatten(F.transform("ws", lambda w: F.transform(F.filter(F.array(F.lit(4), F.lit(5), F.lit(6)), lambda n: n < F.length(w)), lambda n: F.substring(w, F.lit(1), n)))))
     both = seen.select("label", F.lit(False).alias("stem"), F.col("word").alias("term")).unionByName(heads.select("label", F.lit(True).alias("stem"), F.explode(cut).alias("term")))
     counts = both.groupBy("stem", "term").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n")).filter((F.col("pos") >= support) & (F.col("pos") / F.col("n") >= precision))
-    got = counts.orderBy(F.desc("pos"), "stem", "term").limit(terms).collect()
-    stems: dict[str, str] = {}
-    for r in sorted((r for r in got if r["stem"]), key=lambda r: (len(r["term"]), r["term"])):
-        if r["pos"] >= 2 * support and not any(r["term"].startswith(s) for s in stems):
-            stems[r["term"]] = "insult"
+    got = sorted(counts.collect(), key=lambda r: (len(r["term"]), r["term"]))
+    stems: list[str] = []
     for r in got:
-        if not r["stem"] and r["term"] not in base:
-            base[r["term"]] = "insult"
-    return base, stems
+        if r["stem"] and r["pos"] >= 2 * support and not any(r["term"].startswith(s) for s in stems):
+            stems.append(r["term"])
+    learned = {r["term"] for r in got if not r["stem"] and r["term"] not in base}
+    sides = sample.filter("label = 1").select("text").mapInArrow(_sides(learned, set(stems)), "stem boolean, term string, after long, before long")
+    threat = {(r["stem"], r["term"]) for r in sides.groupBy("stem", "term").agg(F.sum("after").alias("after"), F.sum("before").alias("before")).filter("after > before").collect()}
+    role = lambda stem, w: "threat" if (stem, w) in threat else "insult"
+    return base | {w: role(False, w) for w in sorted(learned)}, {w: role(True, w) for w in stems}
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -230,7 +273,9 @@ def _scorer(shared):
 
 
 def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """id, score (P(label 1)), predicted and the number of matched clauses for every row; null texts are empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a lexicon of TERMS at most
+    """id, score (P(label 1)), predicted and the number of matched clauses for every row; null texts are empty.
+
+    Repeated rows each get their score, and an empty table gives an empty result."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the lexicon, bounded by the sample
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_scorer(shared), "id long, score double, clauses long")
     return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "clauses")
