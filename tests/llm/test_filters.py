@@ -273,3 +273,141 @@ def test_long_weak_parts_are_linked_whole(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: {dict(rows)[r["doc_id"]][s["start"] : s["end"]] for s in r["linked"]} for r in secret_scan.scan_secrets(d).collect()}
     assert got == {1: {url, key}, 2: {login, f"{key}+/{key}"}, 3: set(), 4: {key[:64], url}, 5: {key * 9, url}}
+
+
+def test_first_rows_of_each_label_by_place(spark, monkeypatch):
+    ids = list(range(3000))
+    lab = spark.createDataFrame([(i, int(i % 10 == 0)) for i in ids] + [(5, 1), (7, 0), (None, 1), (8, 9), (20, 1)], "doc_id long, quality int")
+    d = spark.createDataFrame([(i, str(i), "x") for i in ids] + [(20, "again", "x"), (None, "none", "x")], "doc_id long, text string, label string")
+    got = quality_nbsvm.labelled_sample(d, lab, "quality", "doc_id", "text", F.col("id") != 0, 40).select("id", "text", "label", "of").collect()
+    place = {r["id"]: r["p"] for r in spark.range(3000).select("id", F.shiftrightunsigned(F.xxhash64("id"), 33).alias("p")).collect()}
+    for label, of in ((1, 299), (0, 2699)):
+        own = [i for i in ids if i not in (0, 5) and (i % 10 == 0) == label]
+        assert {r["id"] for r in got if r["label"] == label} == set(sorted(own, key=lambda i: (place[i], i))[:40]) and {r["of"] for r in got if r["label"] == label} == {len(own)}, of
+    assert quality_nbsvm.labelled_sample(d, lab.limit(0), "quality", "doc_id", "text", F.lit(True), 40).count() == 0
+
+
+def test_classifiers_over_nothing_repeats_and_clashing_columns(spark):
+    d, lab = labelled(spark, 120)
+    d = d.unionByName(d.filter("doc_id in (1, 9000)")).withColumns({"score": F.lit("s"), "label": F.lit(3), "id": F.lit("x"), "quality": F.lit(0)})
+    for module, score in ((quality_nbsvm, quality_nbsvm.score_quality), (toxicity_grammar, toxicity_grammar.score_toxicity)):
+        model = module.fit(d, lab, F.lit(True), sample=50)
+        got = score(d, model).collect()
+        assert len(got) == 125 and len({r["score"] for r in got if r["doc_id"] == 1}) == 1 and score(d.limit(0), model).count() == 0
+        assert score(d, module.fit(d.limit(0), lab, F.lit(True))).count() == 125
+
+
+@pytest.mark.parametrize("between", [3, 20, 600, 30_000])
+def test_clauses_of_any_length(between):
+    g = toxicity_grammar.Grammar({w: s for s, ws in toxicity_grammar.SEEDS.items() for w in ws.split()}, {})
+    pad = " ".join(["pad"] * between)
+    flags = lambda t: [((e - 1) // 8, bool((e - 1) & 4), bool((e - 1) & 2), k) for _, _, e, k in g.matched(t)]
+    assert flags(f"she said that {pad} you idiot") == [(0, False, True, 1)]
+    assert flags(f"{pad} you idiot {pad} you moron") == [(0, False, False, 2)]
+    assert flags(f"he wrote. {pad} not an idiot; {pad} destroy you") == [(0, True, False, 1), (1, False, False, 1)]
+
+
+def test_roles_are_learned_from_the_side_of_the_target(spark):
+    rng = random.Random(2)
+    rows = [(i, f"{prose(rng, EN[:9], 8)}. {rng.choice(['you are a blarg', 'i will zorkify you now', 'you blarg'])}. ", 1, 60) for i in range(60)] + [(100 + i, prose(rng, EN, 20), 0, 60) for i in range(60)]
+    words, stems = toxicity_grammar.learn_lexicon(spark.createDataFrame(rows, "id long, text string, label int, of long"))
+    assert words["blarg"] == "insult" and words["zorkify"] == "threat" and {stems[s] for s in stems if "zorkify".startswith(s)} <= {"threat"}
+
+
+def near_item(rng, words, least):
+    """A copy with a few words changed, whose weighted similarity is still at ``least``."""
+    own = list(words)
+    want = decontaminate.similarity(Counter(decontaminate.shingles_of(own)), Counter(decontaminate.shingles_of(words)))
+    while True:
+        new = list(own)
+        new[rng.randrange(len(new))] = f"n{rng.randrange(999)}"
+        s = decontaminate.similarity(Counter(decontaminate.shingles_of(new)), Counter(decontaminate.shingles_of(words)))
+        if s < least:
+            return own, want
+        own, want = new, s
+        if rng.random() < 0.2:
+            return own, want
+
+
+def test_fingerprints_within_the_radius_hold_the_similar_windows():
+    rng = random.Random(77)
+    vocabulary = [f"v{i}" for i in range(400)]
+    items = [(i, prose(rng, vocabulary, rng.randint(40, 150))) for i in range(150)]
+    index, met = decontaminate.Index(items, 5, decontaminate.RADIUS), 0
+    for i, t in items:
+        own, s = near_item(rng, t.split(), 0.8)
+        got = index.matches(prose(rng, vocabulary, 30) + " " + " ".join(own) + " " + prose(rng, vocabulary, 30), 0.8)
+        met += (i in {m[0] for m in got}) and dict((m[0], m[3]) for m in got)[i] >= s - 1e-9
+    assert met >= 0.98 * len(items)
+
+
+def test_leak_query_against_every_window(spark):
+    rng = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(120)]
+    items = [(i, prose(rng, vocabulary, rng.randint(8, 40))) for i in range(30)]
+    rows = []
+    for i in range(120):
+        words = prose(rng, vocabulary, rng.randint(5, 90)).split()
+        for _ in range(rng.randint(0, 2)):
+            own, _ = near_item(rng, rng.choice(items)[1].split(), 0.75)
+            at = rng.randrange(len(words))
+            words[at:at] = own
+        rows.append((i, " ".join(words)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    d = d.unionByName(spark.createDataFrame([(None, items[0][1]), (None, "clean"), (3, rows[3][1])], "doc_id long, text string")).withColumns({"_id": F.lit(1), "item_id": F.lit(2), "gone": F.lit(3)})
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.find_leaks(d, b).collect() if r["doc_id"] is not None}
+    want = {}
+    for i, t in rows:
+        words = t.split()
+        for j, u in items:
+            n, g = len(u.split()), Counter(decontaminate.shingles_of(u.split()))
+            best = max(decontaminate.similarity(Counter(decontaminate.shingles_of(words[a : a + n])), g) for a in range(max(1, len(words) - n + 1)))
+            if best >= 0.8:
+                want[i, j] = best
+    assert set(got) <= set(want) and len(got) >= 0.97 * len(want) and all(got[k] <= want[k] + 1e-9 for k in got) and len(want) > 40
+    kept = decontaminate.drop_leaks(d, b)
+    assert kept.columns == d.columns and sorted((r["doc_id"] is None, r["text"]) for r in kept.collect() if r["doc_id"] is None) == [(True, "clean")]
+    assert {r["doc_id"] for r in kept.collect()} - {None} == {i for i, _ in rows} - {k[0] for k in got}
+
+
+def linked_by_hand(text, scope=secret_scan.SCOPE):
+    parts = []
+    for kind, role, pattern in (("assign", "secret", secret_scan.ASSIGN), ("access", "id", secret_scan.ACCESS), ("hex", "secret", secret_scan.HEX)):
+        for m in re.finditer(pattern, text, re.A):
+            if (kind != "assign" or len(m[2]) >= 12) and (kind != "access" or len(m[0]) >= 18):
+                parts.append((m.start(), m.end(), kind, role, False))
+    base = list(parts)
+    for kind, role, pattern in secret_scan.WEAK:
+        parts += [(m.start(), m.end(), kind, role, True) for m in re.finditer(pattern, text, re.A) if not any(a < m.end() and m.start() < z for a, z, *_ in base)]
+    return {p[:3] for p in parts if p[4] and any(o[3] != p[3] and o[0] <= p[1] + scope and p[0] <= o[1] + scope for o in parts)}
+
+
+def test_links_against_all_pairs_of_parts(spark):
+    rng = random.Random(31)
+    bits = ["user=alice", "login: bob99", "aB3dE5gH7jK9mN1pQ3sT", "Zz9" * 9, "db://h.example/x", "https://a.b/c?d", "AKIA" + "Q" * 16, "0123456789abcdef0", "password = abcdefghijkl", "short=1"]
+    texts = [" ".join(x for _ in range(rng.randint(0, 14)) for x in (rng.choice(bits), "p" * rng.choice([1, 30, 120, 255, 256, 257, 300]))) for _ in range(150)]
+    d = spark.createDataFrame([*enumerate(texts), (3, texts[3])], "doc_id long, text string")
+    got = secret_scan.scan_secrets(d).collect()
+    assert len(got) == 151 and sum(len(r["linked"]) for r in got) > 100
+    for r in got:
+        assert {(s["start"], s["end"], s["kind"]) for s in r["linked"]} == linked_by_hand(texts[r["doc_id"]])
+
+
+def test_thousands_of_spans_in_one_text(spark):
+    t = " ".join(f"{'é' * (i % 7)} token=abcdefghijkl{i} {'f' * 16}" for i in range(6000))
+    r = secret_scan.secret_digest(secret_scan.scan_secrets(spark.createDataFrame([(1, t)], "doc_id long, text string"))).head()
+    assert r["n_assign"] == r["n_hex"] == 6000 and r["base_sha256"] == hashlib.sha256(base_spans(t).encode()).hexdigest()
+
+
+def test_stages_keep_clashing_columns(spark):
+    from verispark.llm import exact_dedup, simhash
+
+    rng = random.Random(3)
+    rows = [(i, prose(rng, EN, 40)) for i in range(12)]
+    rows += [(20, rows[0][1]), (None, rows[1][1]), (None, "only here words enough to be a text of its own")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("_id", "gone", "found", "own_sha", "_sha_of", "letters", "id")})
+    model = ({}, [], 8)
+    for out, ids in ((exact_dedup.drop_copies(d), {*range(12), None}), (simhash.one_of_each(d, simhash.verified_duplicates(d)), {*range(12), None}), (language_gru.drop_rejected(d, model), {*range(12), 20, None})):
+        assert out.columns == d.columns and {r["doc_id"] for r in out.collect()} == ids
+        assert all(r["own_sha"] == "own_sha" and r["letters"] == "letters" for r in out.collect())

@@ -28,24 +28,37 @@ WEAK = [
     ("endpoint", "endpoint", r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{3,}"),
 ]
 SCOPE = 256
+#: Matches whose positions are summed in one run.
+PART = 512
+
+
+def _bound(c: Column, body) -> Column:
+    """body(c) with c computed once: inside a lambda an expression would be computed again for each element."""
+    return F.transform(F.array(c), body)[0]
 
 
 def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
-    """Array of (start, kind, end) of the leftmost non-overlapping matches; positions are sums over the pieces between them."""
+    """Array of (start, kind, end) of the leftmost non-overlapping matches; positions are sums over the pieces between them.
+
+    The sums run within parts of ``PART`` matches and then over the parts, so a text of many matches is not copied once a match."""
+    spans = "array<struct<start:int,kind:string,end:int>>"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    lens = F.transform(found, lambda x: F.length(x))
-    step = F.aggregate(
-        F.arrays_zip(F.slice(gaps, 1, F.size(lens)).alias("g"), lens.alias("n")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
-        lambda acc, x: F.struct((acc["at"] + x["g"] + x["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["n"]).alias("end")))).alias("out")),
-        lambda acc: acc["out"],
-    )
-    spans = F.transform(step, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
-    if keep is not None:
-        spans = F.filter(F.arrays_zip(spans.alias("s"), found.alias("m")), lambda z: keep(z["m"]))
-        spans = F.transform(spans, lambda z: z["s"])
-    return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(F.array().cast("array<struct<start:int,kind:string,end:int>>"))
+    steps = F.transform(F.filter(F.arrays_zip(gaps.alias("g"), found.alias("m")), lambda z: z["m"].isNotNull()), lambda z: F.struct(z["g"].alias("g"), F.length(z["m"]).alias("n"), (keep(z["m"]) if keep else F.lit(True)).alias("ok")))
+
+    def one(acc: Column, x: Column) -> Column:
+        a, z = acc["at"] + x["g"], acc["at"] + x["g"] + x["n"]
+        own = F.array(F.struct(a.alias("start"), F.lit(kind).alias("kind"), z.alias("end")))
+        return F.struct(z.alias("at"), F.when(x["ok"], F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
+
+    def moved(part: Column, by: Column) -> Column:
+        return F.transform(part, lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end")))
+
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("out"))
+    nested = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{spans}>").alias("out"))
+    parts = lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / PART).cast("int")), lambda i: F.aggregate(F.slice(z, i * PART + 1, F.lit(PART)), none, one))
+    whole = lambda p: F.flatten(F.aggregate(p, nested, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(moved(x["out"], acc["at"]))).alias("out")), lambda acc: acc["out"]))
+    return F.when(F.rlike(text, F.lit(pattern)), _bound(steps, lambda z: _bound(parts(z), whole))).otherwise(F.array().cast(spans))
 
 
 def _written(spans: Column) -> Column:
@@ -62,13 +75,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each input row: id, base (array of spans), linked (array of spans of weak parts that linking confirms).
 
     A null text is empty.  A weak part is confirmed by a part of another role within ``scope`` code points; base spans
-    have the roles secret (assign, hex) and id (access).  A weak part that overlaps a base span is left out.
+    have the roles secret (assign, hex) and id (access).  A weak part that overlaps a base span is left out.  Repeated rows each
+    get their row, and an empty table gives an empty result.
     """
     text = F.col("t")
     scratch = Scratch(docs.sparkSession, "secrets")
     src = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     group2 = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 12
-    base = F.concat(_spans(text, ASSIGN, "assign", group2), _spans(text, ACCESS + "", "access", lambda m: F.length(m) >= 18), _spans(text, HEX, "hex"))
+    base = F.concat(_spans(text, ASSIGN, "assign", group2), _spans(text, ACCESS, "access", lambda m: F.length(m) >= 18), _spans(text, HEX, "hex"))
     weak = F.concat(*[_spans(text, p, k) for k, _, p in WEAK])
     found = scratch.save(src.select("rid", "id", base.alias("base"), weak.alias("weak")).withColumn("base", _ordered(F.col("base"))), "found")
 
