@@ -69,6 +69,8 @@ def _evidence(spark: SparkSession, a: argparse.Namespace) -> int:
     pack = ledger.evidence_pack(events, ledger.verify(lines), ledger.head(lines))
     _show(ledger.clause_coverage(events).orderBy("clause"))
     _show(pack)
+    if a.out:
+        ledger.write_pack(events, lines, a.out)
     return 0 if pack.head()["fit_to_hand_over"] else 1
 
 
@@ -77,6 +79,10 @@ def _gate(spark: SparkSession, a: argparse.Namespace) -> int:
 
     outcomes, result = run_gate(spark.read.schema("name string, value double, threshold double").json(a.scores, multiLine=True))
     _show(outcomes.orderBy("name"))
+    if a.out:
+        from verispark.operators.gate import write_artefacts
+
+        write_artefacts(outcomes, a.out, a.ledger)
     return int(result.head()["exit_code"])
 
 
@@ -96,8 +102,8 @@ def parser() -> argparse.ArgumentParser:
     add("questions", _questions)
     add("verify", _verify, ("--ledger", need))
     add("show", _ledger, ("--ledger", need), ("--module", {}))
-    add("evidence", _evidence, ("--ledger", need))
-    add("gate", _gate, ("--scores", need))
+    add("evidence", _evidence, ("--ledger", need), ("--out", {}))
+    add("gate", _gate, ("--scores", need), ("--out", {}), ("--ledger", {}))
     return p
 
 

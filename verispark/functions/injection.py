@@ -88,18 +88,15 @@ def action(found: Column) -> Column:
 def scan(rows: DataFrame, text: str, encoded: bool = True) -> DataFrame:
     """Adds ``matches`` (plain, then encoded, then one ``encoded_payload`` for each decoded blob that matched), ``decoded_payloads`` and ``action``.
 
-    Texts without a blob never reach Python."""
+    The table is read once.  Of a text only its blobs reach Python."""
     if not encoded:
         out = rows.withColumn("matches", matches(F.col(text))).withColumn("decoded_payloads", F.lit(0))
         return out.withColumn("action", action(F.col("matches")))
-    has = F.coalesce(F.rlike(F.col(text), F.lit(BASE64_BLOB)) | F.rlike(F.col(text), F.lit(HEX_BLOB)), F.lit(False))
-    plain = rows.filter(~has).withColumn("matches", matches(F.col(text))).withColumn("decoded_payloads", F.lit(0))
     marker = F.from_json(F.lit('{"check":"encoded_payload","action":"block","severity":"high","carrier":"encoded"}'), MATCH)
-    deep = rows.filter(has).withColumn("_blobs", blobs(F.col(text)))
+    deep = rows.withColumn("_blobs", blobs(F.col(text)))
     inside = F.transform("_blobs", lambda b: matches(b, "encoded"))
     deep = deep.withColumn("_inside", F.flatten(F.transform(inside, lambda ms: F.when(F.size(ms) > 0, F.concat(ms, F.array(marker))).otherwise(ms))))
-    deep = deep.withColumn("matches", F.concat(matches(F.col(text)), F.col("_inside"))).withColumn("decoded_payloads", F.size("_blobs")).drop("_blobs", "_inside")
-    out = plain.unionByName(deep)
+    out = deep.withColumn("matches", F.concat(matches(F.col(text)), F.col("_inside"))).withColumn("decoded_payloads", F.size("_blobs")).drop("_blobs", "_inside")
     return out.withColumn("action", action(F.col("matches")))
 
 

@@ -31,15 +31,27 @@ def content_hash(text: Column) -> Column:
     return F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 16)
 
 
+def _bound(c: Column, body) -> Column:
+    """body(c) with c computed once; named inside a lambda it would be computed again for each element."""
+    return F.transform(F.array(c), body)[0]
+
+
 def verify(text: Column) -> Column:
     """present, tag (null if its bits are no UTF-8 text) and valid.  Absence of a mark says nothing about the origin."""
     found = F.regexp_extract(F.coalesce(text, F.lit("")), MARK, 0)
     bits = F.translate(F.regexp_replace(found, END, ""), ZERO + ONE, "01")
-    octets = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(bits)), F.lit(8)), lambda i: F.lpad(F.conv(F.substring(bits, i, 8), 2, 16), 2, "0"))
-    raw = F.unhex(F.array_join(octets, ""))
-    whole = (F.length(found) > 0) & (F.length(bits) % 8 == 0)
-    text_ = F.when(whole & F.is_valid_utf8(raw.cast("string")), F.decode(raw, "UTF-8"))
-    return F.struct((F.length(found) > 0).alias("present"), text_.alias("tag"), F.coalesce(text_.startswith(PREFIX), F.lit(False)).alias("valid"))
+
+    def told(b: Column) -> Column:
+        octets = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(b)), F.lit(8)), lambda i: F.lpad(F.conv(F.substring(b, i, 8), 2, 16), 2, "0"))
+        whole = (F.length(b) > 0) & (F.length(b) % 8 == 0)
+
+        def read(raw: Column) -> Column:
+            tag_ = F.when(whole & F.is_valid_utf8(raw.cast("string")), F.decode(raw, "UTF-8"))
+            return _bound(tag_, lambda t: F.struct((F.length(b) > 0).alias("present"), t.alias("tag"), F.coalesce(t.startswith(PREFIX), F.lit(False)).alias("valid")))
+
+        return _bound(F.unhex(F.array_join(octets, "")), read)
+
+    return _bound(bits, told)
 
 
 def strip(text: Column) -> Column:

@@ -66,7 +66,8 @@ def psi_by_dimension(baseline: DataFrame, current: DataFrame, buckets: int = BUC
     grid = edges.select("pos", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
     met = grid.join(shares(base).withColumnRenamed("share", "b"), ["pos", "bucket"], "left").join(shares(now).withColumnRenamed("share", "c"), ["pos", "bucket"], "left")
     b, c = F.greatest(F.coalesce("b", F.lit(0.0)), F.lit(EPSILON)), F.greatest(F.coalesce("c", F.lit(0.0)), F.lit(EPSILON))
-    return met.groupBy("pos").agg(F.round(F.sum((c - b) * F.log(c / b)), 4).alias("psi"))
+    measured = met.groupBy("pos").agg(F.round(F.sum((c - b) * F.log(c / b)), 4).alias("psi"))
+    return cells.select("pos").distinct().join(measured, "pos", "left")
 
 
 def drift(baseline: DataFrame, current: DataFrame, buckets: int = BUCKETS) -> DataFrame:

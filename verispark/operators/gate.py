@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verispark.operators import ledger
+
 BLOCKING = ["fail", "unmeasured", "error"]
 
 
@@ -51,3 +56,23 @@ def result(outcomes: DataFrame) -> DataFrame:
     n = lambda s: F.count_if(F.col("status") == s).alias(s)
     row = outcomes.agg(F.count(F.lit(1)).alias("checks"), n("pass"), n("fail"), n("unmeasured"), n("skipped"), n("error"), F.count_if("blocking").alias("blocking"))
     return row.withColumn("passed", F.col("blocking") == 0).withColumn("exit_code", F.when(F.col("error") > 0, 2).when(F.col("blocking") > 0, 1).otherwise(0))
+
+
+def write_artefacts(outcomes: DataFrame, folder: str, ledger_path: str | None = None) -> list[str]:
+    """Writes gate-report.json and gate-summary.md to a local folder of the driver and, if asked, a ledger entry; the paths written.
+
+    Outcomes are one for each check, a bounded number."""
+    rows = [r.asDict() for r in outcomes.orderBy("name").collect()]
+    total = result(outcomes).head().asDict()
+    doc = {"schema": "verispark.gate/v1", "passed": total["passed"], "exit_code": total["exit_code"], "checks": rows}
+    text = [f"# Gate: {'passed' if total['passed'] else 'blocked'}", "", "| check | status | actual | threshold |", "|-|-|-|-|"]
+    text += [f"| {r['name']} | {r['status']} | {'-' if r['actual'] is None else r['actual']} | {'-' if r['threshold'] is None else r['threshold']} |" for r in rows]
+    os.makedirs(folder, exist_ok=True)
+    done = []
+    for name, body in (("gate-report.json", json.dumps(doc, indent=2, ensure_ascii=False)), ("gate-summary.md", "\n".join(text) + "\n")):
+        done.append(os.path.join(folder, name))
+        with open(done[-1], "w", encoding="utf-8") as out:
+            out.write(body)
+    if ledger_path:
+        ledger.append(ledger_path, "cicd", "gate_run", {"passed": total["passed"], "exit_code": total["exit_code"], "checks": {r["name"]: r["status"] for r in rows}})
+    return done

@@ -39,43 +39,47 @@ def daily_tokens(calls: DataFrame) -> DataFrame:
     return calls.groupBy("day").agg(F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"))
 
 
-def budget_breaches(calls: DataFrame, policy: Policy) -> DataFrame:
+def budget_breaches(calls: DataFrame, policy: Policy, at: str = "called_at") -> DataFrame:
     """Adds ``breach``: the first budget (calls, session tokens, day tokens) that the call would exceed, from what was spent before it.
 
-    A session's running totals are a window by session; a day's come from totals by hour first, so no day is one task."""
+    A session's running totals are a window by session.  A day's follow the clock of the column ``at``: totals by minute are summed first, and then
+    the calls within each minute, so no day is one task.  Calls of one moment count in the order of session and index."""
     tokens = F.col("prompt_tokens") + F.col("completion_tokens")
     before = Window.partitionBy("session_id").orderBy("call_index").rowsBetween(Window.unboundedPreceding, -1)
     out = calls.withColumn("calls_before", F.count(F.lit(1)).over(before)).withColumn("tokens_before", F.coalesce(F.sum(tokens).over(before), F.lit(0)))
     breach = F.lit(None).cast("string")
     if policy.max_tokens_per_day is not None:
-        cell = F.pmod(F.xxhash64("session_id"), F.lit(64)).alias("cell")  # sessions in a fixed order stand in for the clock within a day
-        out = out.withColumn("cell", cell)
-        cells = out.groupBy("day", "cell").agg(F.sum(tokens).alias("n"))
-        cells = cells.select("day", "cell", (F.sum("n").over(Window.partitionBy("day").orderBy("cell")) - F.col("n")).alias("cells_before"))
-        own = Window.partitionBy("day", "cell").orderBy("session_id", "call_index").rowsBetween(Window.unboundedPreceding, -1)
-        out = out.withColumn("own_before", F.coalesce(F.sum(tokens).over(own), F.lit(0))).join(cells, ["day", "cell"])
-        breach = F.when(F.col("cells_before") + F.col("own_before") + tokens > policy.max_tokens_per_day, "max_tokens_per_day").otherwise(breach)
+        out = out.withColumn("minute", F.date_trunc("minute", F.col(at)))
+        minutes = out.groupBy("day", "minute").agg(F.sum(tokens).alias("n"))
+        minutes = minutes.select(F.col("day").alias("m_day"), F.col("minute").alias("m_minute"), (F.sum("n").over(Window.partitionBy("day").orderBy("minute")) - F.col("n")).alias("minutes_before"))
+        own = Window.partitionBy("day", "minute").orderBy(at, "session_id", "call_index").rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumn("own_before", F.coalesce(F.sum(tokens).over(own), F.lit(0)))
+        out = out.join(minutes, F.col("day").eqNullSafe(F.col("m_day")) & F.col("minute").eqNullSafe(F.col("m_minute")))
+        out = out.withColumn("day_tokens_before", F.col("minutes_before") + F.col("own_before"))
+        breach = F.when(F.col("day_tokens_before") + tokens > policy.max_tokens_per_day, "max_tokens_per_day").otherwise(breach)
     if policy.max_tokens_per_session is not None:
         breach = F.when(F.col("tokens_before") + tokens > policy.max_tokens_per_session, "max_tokens_per_session").otherwise(breach)
     if policy.max_calls_per_session is not None:
         breach = F.when(F.col("calls_before") >= policy.max_calls_per_session, "max_calls_per_session").otherwise(breach)
-    return out.withColumn("breach", breach).drop("cell", "cells_before", "own_before")
+    return out.withColumn("breach", breach).drop("minute", "m_day", "m_minute", "minutes_before", "own_before")
 
 
 def replay(turns: DataFrame, session: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", policy: Policy | None = None) -> DataFrame:
     """The guarded call over logged turns, in its order: scan, then mask, then the output gate on the answers.
 
-    One row for each turn: action, signatures, categories masked, tokens, and the text that would be passed on (null where blocked)."""
+    One row for each turn, repeated and null keys included: action, signatures, categories masked, tokens, and the text that would be passed
+    on (null where blocked).  Masking carries the row along, so nothing is joined by key."""
     policy = policy or Policy()
-    rows = turns.select(session, order, role, text)
+    if policy.mask:
+        rows = pii.mask_sessions(turns, session, order, text, reversible=False, carry=[role])
+    else:
+        rows = turns.select(session, order, role, text, F.col(text).alias("masked"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")).alias("entities"))
     scanned = injection.scan(rows, text) if policy.scan_input else rows.withColumn("matches", F.array().cast(f"array<{injection.MATCH}>")).withColumn("decoded_payloads", F.lit(0)).withColumn("action", F.lit("pass"))
-    answers = F.col(role) == "assistant"
+    answers = F.coalesce(F.col(role) == "assistant", F.lit(False))
     gate = F.when(answers & F.lit(policy.check_output), output_gate.check_output(F.col(text))).otherwise(F.array().cast("array<struct<check:string,severity:string,action:string>>"))
     scanned = scanned.withColumn("gate", gate).withColumn("input_action", F.when(answers, "pass").otherwise(F.col("action")))
     gated = F.when(F.exists("gate", lambda g: g["action"] == "block"), "block").when(F.size("gate") > 0, "flag").otherwise("pass")
-    scanned = scanned.withColumn("output_action", gated)
-    masked = pii.mask_sessions(turns, session, order, text) if policy.mask else turns.select(session, order, F.col(text).alias("masked"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")).alias("entities"))
-    out = scanned.join(masked.select(session, order, "masked", "entities"), [session, order])
+    out = scanned.withColumn("output_action", gated)
     blocked = (F.col("input_action") == "block") | (F.col("output_action") == "block")
     return out.select(
         session, order, role, "input_action", "output_action", F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["check"]))).alias("signatures"), F.transform("gate", lambda g: g["check"]).alias("gate_findings"),

@@ -37,6 +37,10 @@ CLAUSES: list[tuple[str, str, list[str]]] = [
 ]
 
 
+#: Line numbers that are compared in one task.
+CELL = 100_000
+
+
 def digest(entry: dict[str, Any], previous: str) -> str:
     """SHA-256 of the entry without its chain fields, as JSON with sorted keys, followed by the previous hash."""
     event = {k: v for k, v in entry.items() if k not in ("hash", "previous_hash")}
@@ -48,7 +52,7 @@ def new_session_id() -> str:
 
 
 def _head(data: bytes) -> str:
-    for line in reversed(data.decode(errors="replace").splitlines()):
+    for line in reversed(data.decode(errors="replace").split("\n")):  # other line breaks stand inside of texts
         try:
             return json.loads(line)["hash"]
         except (ValueError, KeyError, TypeError):
@@ -103,7 +107,8 @@ def head(ledger: DataFrame) -> DataFrame:
 def verify(ledger: DataFrame, chain: list[str] | None = None) -> DataFrame:
     """line_no and violation (unparseable, mismatch, altered), one row each.  ``chain``: columns that tell several ledgers apart.
 
-    The line after an unparseable one is a mismatch, since its link can't be known."""
+    The line after an unparseable one is a mismatch, since its link can't be known.  A hash that is missing or no text is altered.  Lines are
+    compared with the one before within cells of CELL line numbers, and a cell's first line with the last of the cell before, so no task sorts a whole ledger."""
     keys = chain or []
 
     @F.pandas_udf("struct<ok:boolean,stored:string,previous:string,actual:string>")
@@ -112,19 +117,24 @@ def verify(ledger: DataFrame, chain: list[str] | None = None) -> DataFrame:
         for line in raw:
             try:
                 entry = json.loads(line)
-                stored, previous = entry.get("hash", ""), entry.get("previous_hash", "")
+                stored, previous = (entry.get(k) if isinstance(entry.get(k), str) else "<none>" for k in ("hash", "previous_hash"))
                 rows.append((True, stored, previous, digest(entry, previous)))
             except (ValueError, AttributeError, TypeError):
                 rows.append((False, "<unparseable>", None, None))
         return pd.DataFrame(rows, columns=["ok", "stored", "previous", "actual"])
 
-    rows = ledger.select(*keys, "line_no", check("raw").alias("c")).select(*keys, "line_no", "c.*")
-    before = F.lag("stored", 1, GENESIS).over(Window.partitionBy(*keys).orderBy("line_no"))
-    rows = rows.withColumn("expected", before)
+    rows = ledger.select(*keys, "line_no", check("raw").alias("c")).select(*keys, "line_no", F.floor(F.col("line_no") / CELL).alias("cell"), "c.*")
+    lasts = rows.groupBy(*keys, "cell").agg(F.max_by("stored", "line_no").alias("last"))
+    lasts = lasts.select(*keys, "cell", F.lag("last", 1, GENESIS).over(Window.partitionBy(*keys).orderBy("cell")).alias("carried"))
+    own = F.lag("stored").over(Window.partitionBy(*keys, "cell").orderBy("line_no"))
+    same = F.lit(True)
+    for k in [*keys, "cell"]:  # a null key is a ledger too
+        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"l.{k}"))
+    rows = rows.withColumn("own", own).alias("r").join(lasts.alias("l"), same).select("r.*", F.coalesce("own", "carried").alias("expected"))
     found = F.array(
         F.when(~F.col("ok"), F.lit("unparseable")),
-        F.when(F.col("ok") & (F.col("previous") != F.col("expected")), F.lit("mismatch")),
-        F.when(F.col("ok") & (F.col("actual") != F.col("stored")), F.lit("altered")),
+        F.when(F.col("ok") & ~F.col("previous").eqNullSafe(F.col("expected")), F.lit("mismatch")),
+        F.when(F.col("ok") & ~F.col("actual").eqNullSafe(F.col("stored")), F.lit("altered")),
     )
     return rows.select(*keys, "line_no", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("violation"))
 
@@ -162,6 +172,27 @@ def evidence_pack(events: DataFrame, violations: DataFrame, head_: DataFrame) ->
     return row.withColumn("chain_intact", F.col("violations") == 0).withColumn("fit_to_hand_over", (F.col("violations") == 0) & (F.col("entries") > 0))
 
 
+def pack_document(coverage: list[dict[str, Any]], pack: dict[str, Any]) -> dict[str, Any]:
+    return {"schema": "verispark.evidence/v1", "clauses": coverage, "pack": pack, "note": "Records show that checks ran. They don't certify anything."}
+
+
+def write_pack(events: DataFrame, ledger: DataFrame, folder: str, formats: tuple[str, ...] = ("md", "json")) -> list[str]:
+    """Writes the evidence pack to a local folder of the driver: a row for each clause and the roll-up; the paths written."""
+    coverage = [r.asDict() for r in clause_coverage(events).orderBy("clause").collect()]  # a row for each clause
+    doc = pack_document(coverage, evidence_pack(events, verify(ledger), head(ledger)).head().asDict())
+    lines_ = ["# Evidence", "", f"Chain {'intact' if doc['pack']['chain_intact'] else 'VIOLATED'}, {doc['pack']['entries']} entries, head `{doc['pack']['head']}`.", "", "| clause | entries | from | to | status |", "|-|-|-|-|-|"]
+    lines_ += [f"| {c['clause']} | {c['entries']} | {c['first_day'] or '-'} | {c['last_day'] or '-'} | {c['status']} |" for c in coverage]
+    texts = {"md": "\n".join([*lines_, "", doc["note"], ""]), "json": json.dumps(doc, indent=2, ensure_ascii=False, default=str) + "\n"}
+    os.makedirs(folder, exist_ok=True)
+    done = []
+    for f in formats:
+        if f in texts:
+            done.append(os.path.join(folder, f"evidence.{f}"))
+            with open(done[-1], "w", encoding="utf-8") as out:
+                out.write(texts[f])
+    return done
+
+
 def listed(rows: DataFrame, by: str, cap: int = 25) -> DataFrame:
     """The first ``cap`` rows by ``by`` and, in each, how many more there are."""
     return rows.orderBy(by).limit(cap).crossJoin(F.broadcast(rows.agg(F.greatest(F.count(F.lit(1)) - cap, F.lit(0)).alias("remaining"))))

@@ -156,3 +156,22 @@ def quality_findings(chunks: DataFrame, near: DataFrame | None = None) -> DataFr
         one("personal_data_in_corpus", "high", "flag", "Art. 10 / GDPR Art. 5(1)(c)", "personal", some("personal")),
     )
     return row.select(F.explode(F.filter(found, lambda f: f.isNotNull())).alias("f")).select("f.*")
+
+
+def finding_samples(chunks: DataFrame, near: DataFrame | None = None, most: int = 10, pairs: int = 5) -> DataFrame:
+    """check, first, second: the first ``most`` ids of each finding about chunks, and the first ``pairs`` pairs of near duplicates.
+
+    A top-k by id for each check, so no list of ids is gathered."""
+    long_ = length_outliers(chunks).filter("kind = 'long'").select(F.col("id").alias("first"))
+    flags = _flags(chunks)
+    out = None
+    for check, rows in (
+        ("empty_chunks", flags.filter("empty").select(F.col("id").alias("first"))), ("near_empty_chunks", flags.filter("near_empty").select(F.col("id").alias("first"))),
+        ("unembedded_chunks", flags.filter("orphan").select(F.col("id").alias("first"))), ("oversized_chunks", long_),
+    ):
+        own = rows.orderBy("first").limit(most).select(F.lit(check).alias("check"), "first", F.lit(None).cast("string").alias("second"))
+        out = own if out is None else out.unionByName(own)
+    if near is not None:
+        a, b = near.columns[:2]
+        out = out.unionByName(near.orderBy(a, b).limit(pairs).select(F.lit("near_duplicate_chunks").alias("check"), F.col(a).alias("first"), F.col(b).alias("second")))
+    return out

@@ -14,7 +14,9 @@ from verispark.functions.scores import severity_rank
 
 SCHEMA = "verispark.report/v1"
 # Keys whose texts never leave.
-SENSITIVE = ["text", "content", "prompt", "response", "value", "values", "raw", "original", "vault", "secret", "token", "password", "email", "payload_text"]
+SENSITIVE = ["value", "values", "raw", "raw_text", "text", "prompt", "response", "content", "matched_text", "secret", "token", "api_key", "vault", "sample_text"]
+#: Keys that this engine adds to them.
+MORE = ["original", "password", "email", "payload_text"]
 REDACTED = "[redacted]"
 #: Rows of findings that a rendered report lists; what remains is counted.
 LISTED = 40
@@ -22,8 +24,8 @@ LISTED = 40
 
 def redact(node: Any, key: str = "") -> Any:
     """Texts under sensitive keys, lists that hold one and non-empty objects are replaced; numbers stay."""
-    held = isinstance(node, str) or (isinstance(node, list) and any(isinstance(x, str) for x in node)) or (isinstance(node, dict) and bool(node))
-    if key.lower() in SENSITIVE and held:
+    held = any(isinstance(x, str) and x for x in node) if isinstance(node, list) else isinstance(node, (str, dict)) and bool(node)
+    if held and key.lower() in (*SENSITIVE, *MORE):
         return REDACTED
     if isinstance(node, dict):
         return {k: redact(v, k) for k, v in node.items()}

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verispark.functions import injection, output_gate, pii, scores, text, vectors, watermark
+from verispark.functions import copy_lint, injection, output_gate, pii, scores, text, vectors, watermark
 from verispark.operators import bias, classify, dossier, drift, gate, guard, ledger, quality, remediation, report, vendor
 from verispark.plans import samples
 from verispark.sources.documents import chunks, snapshots, table
@@ -108,6 +108,16 @@ def quality_score(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(quality.quality_score(chunks(spark, sf)), 6, "content", "retrievable", "distinctness", "sizing", "quality_score")
 
 
+@query
+def finding_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.finding_samples(chunks(spark, sf))
+
+
+@query
+def copy_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return copy_lint.lint(spark.createDataFrame(samples.PAGES, "page string, locale string, text string"))
+
+
 @query
 def quality_findings(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_findings(chunks(spark, sf))
@@ -249,6 +259,7 @@ def _calls(spark: SparkSession, sf: str) -> DataFrame:
         F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("int").alias("call_index"), F.lit("m").alias("model"), F.coalesce("prompt_tokens", F.lit(0)).alias("prompt_tokens"), text.token_estimate(F.col("text")).cast("long").alias("completion_tokens"),
         F.lit(True).alias("estimated"), F.lit(0.0).alias("latency_ms"), injection.action(found).alias("input_action"), act.alias("output_action"), none.alias("masked_entities"), F.transform(found, lambda m: m["check"]).alias("signatures"),
         F.lit(False).alias("degraded"), F.lit(None).cast("string").alias("fallback_reason"), F.lit("primary").alias("answered_by"), F.lit(1).alias("attempts"), F.lit(None).cast("string").alias("error"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 7).cast("int")).alias("day"),
+        F.timestamp_seconds(F.lit(1704067200) + (F.col("conv_id") % 7) * 86400 + (F.col("conv_id") * 37 + F.col("turn") * 11) % 86400).alias("called_at"),
     )
 
 
@@ -260,7 +271,9 @@ def injection_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def document_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return injection.scan_documents(table(spark, sf, "documents"), "doc_id", "text")
+    """The documents and a few that hold injections, plain and encoded."""
+    planted = spark.createDataFrame(samples.INJECTED, "doc_id long, text string")
+    return injection.scan_documents(table(spark, sf, "documents").select("doc_id", "text").unionByName(planted), "doc_id", "text")
 
 
 @query
@@ -286,6 +299,12 @@ def budget_breaches(spark: SparkSession, sf: str) -> DataFrame:
     return guard.budget_breaches(_calls(spark, sf), policy).select("session_id", F.col("call_index").cast("long").alias("call_index"), "calls_before", "tokens_before", "breach")
 
 
+@query
+def day_budget_breaches(spark: SparkSession, sf: str) -> DataFrame:
+    out = guard.budget_breaches(_calls(spark, sf), guard.Policy(max_tokens_per_day=500))
+    return out.select("session_id", F.col("call_index").cast("long").alias("call_index"), "day", "day_tokens_before", "breach")
+
+
 @query
 def guarded_replay(spark: SparkSession, sf: str) -> DataFrame:
     return guard.replay(table(spark, sf, "conversations"))

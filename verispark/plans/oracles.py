@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verispark.functions import lexicons, output_gate, vocabulary
+from verispark.functions import copy_lint, lexicons, output_gate, vocabulary
 from verispark.functions.injection import BASE64_BLOB, HEX_BLOB, SIGNATURES
 from verispark.operators import dossier, ledger, remediation
 from verispark.plans import samples
@@ -175,6 +175,15 @@ ORACLES: dict[str, str] = {
     "quality_counts": f"WITH {CHUNKS} SELECT * FROM cnt",
     "dimension_histogram": "SELECT len(embedding)::BIGINT AS dimension, count(*) AS chunks FROM documents JOIN embeddings ON doc_id = vec_id WHERE len(embedding) > 0 GROUP BY 1",
     "length_stats": f"WITH {CHUNKS} SELECT min(n) AS min_length, max(n) AS max_length, round(avg(n), 4) AS mean_length, round(median(n), 4) AS median_length, round(stddev_pop(n), 4) AS stdev_length FROM c WHERE n > 0",
+    "finding_samples": f"""WITH {CHUNKS}, x AS (
+            SELECT 'empty_chunks' AS chk, id FROM c WHERE body = 0 UNION ALL SELECT 'near_empty_chunks', id FROM c WHERE body > 0 AND body < 40
+            UNION ALL SELECT 'unembedded_chunks', id FROM c WHERE dim = 0 UNION ALL SELECT 'oversized_chunks', id FROM o WHERE kind = 'long'),
+        r AS (SELECT *, row_number() OVER (PARTITION BY chk ORDER BY id) AS k FROM x)
+        SELECT chk AS "check", id AS "first", NULL::VARCHAR AS "second" FROM r WHERE k <= 10""",
+    "copy_findings": f"""WITH p(page, locale, text) AS {values(samples.PAGES)}, l AS (SELECT page, locale, lower(coalesce(text, '')) AS low, page IN ('honesty', 'faq') AS exempt FROM p),
+        b(phrase) AS {values([(x,) for x in copy_lint.BANNED])}, s(locale, phrase) AS {values([(k, x) for k, v in copy_lint.STATEMENTS.items() for x in v])}
+        SELECT page, locale, 'banned phrase' AS problem, phrase FROM l, b WHERE NOT exempt AND contains(low, phrase)
+        UNION ALL SELECT page, l.locale, 'missing statement', phrase FROM l JOIN s ON s.locale = CASE WHEN l.locale = 'tr' THEN 'tr' ELSE 'en' END WHERE exempt AND NOT contains(low, phrase)""",
     "length_outliers": f"WITH {CHUNKS} SELECT id, n AS length, kind FROM o WHERE kind IS NOT NULL",
     "near_duplicates": f"""WITH {CHUNKS}, {SHINGLES}, f AS (SELECT min(id) AS id FROM c WHERE body > 0 GROUP BY fp), g AS (SELECT id, len(s) AS k, unnest(s) AS gram FROM f JOIN sh ON id = doc_id),
         pr AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS joint, any_value(a.k) AS ka, any_value(b.k) AS kb FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id GROUP BY a.id, b.id)
@@ -206,6 +215,9 @@ ORACLES: dict[str, str] = {
     "daily_tokens": f"WITH {CALLS} SELECT DATE '2024-01-01' + (conv_id % 7)::INTEGER AS day, sum(prompt_tokens + completion_tokens)::BIGINT AS tokens FROM calls GROUP BY 1",
     "budget_breaches": f"""WITH {CALLS}, w AS (SELECT conv_id::VARCHAR AS session_id, turn AS call_index, prompt_tokens + completion_tokens AS tk, count(*) OVER o AS calls_before, coalesce(sum(prompt_tokens + completion_tokens) OVER o, 0)::BIGINT AS tokens_before FROM calls WINDOW o AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
         SELECT session_id, call_index, calls_before, tokens_before, CASE WHEN calls_before >= 3 THEN 'max_calls_per_session' WHEN tokens_before + tk > 200 THEN 'max_tokens_per_session' END AS breach FROM w""",
+    "day_budget_breaches": f"""WITH {CALLS}, c AS (SELECT conv_id::VARCHAR AS session_id, turn AS call_index, DATE '2024-01-01' + (conv_id % 7)::INTEGER AS day, (conv_id * 37 + turn * 11) % 86400 AS called, prompt_tokens + completion_tokens AS tk FROM calls),
+        w AS (SELECT *, coalesce(sum(tk) OVER (PARTITION BY day ORDER BY called, session_id, call_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS day_tokens_before FROM c)
+        SELECT session_id, call_index, day, day_tokens_before, CASE WHEN day_tokens_before + tk > 500 THEN 'max_tokens_per_day' END AS breach FROM w""",
     "watermark_round_trip": "SELECT doc_id, TRUE AS present, 'AAI|' || substr('system-' || source, 1, 24) || '|2024-06-01' AS tag, TRUE AS valid, TRUE AS stripped, substr(sha256(text), 1, 16) AS content_hash, (length(text) + 2 + 8 * strlen('AAI|' || substr('system-' || source, 1, 24) || '|2024-06-01'))::BIGINT AS marked_length FROM documents",
     "classify_systems": f"WITH {SYSTEMS} SELECT * FROM cls",
     "classification_findings": f"""WITH {SYSTEMS} SELECT name, 'eu_ai_act_tier' AS "check", CASE tier WHEN 'unacceptable' THEN 'critical' WHEN 'high' THEN 'high' WHEN 'minimal' THEN 'info' ELSE 'medium' END AS severity, CASE tier WHEN 'unacceptable' THEN 'block' ELSE 'flag' END AS action FROM cls
