@@ -295,7 +295,7 @@ def _common_shingles(src: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(k: int, least: float, shared):
-    """id, digest of the set of shingles in two halves, its size, and its first shingles in the common order.
+    """id, digest of the set of shingles in two halves, its size, its first shingles in the common order, and the parity of its shingles in 128 places.
 
     Of two sets at ``least`` or more, each has one of the other's among so many first ones."""
 
@@ -304,17 +304,20 @@ def _prefixes(k: int, least: float, shared):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                digests, sizes, firsts = [], [], []
+                digests, sizes, firsts, parities = [], [], [], []
                 for t in b.column(1).cast(pa.binary()).to_pylist():
                     s = np.unique(_hashes(_shingles(t or b"", k)))
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sizes.append(len(s))
+                    parities.append(np.packbits((np.bincount((s & np.uint64(127)).astype(np.int64), minlength=128) & 1).astype(np.uint8)).tobytes())
                     if len(h):
                         place = np.minimum(np.searchsorted(h, s), len(h) - 1)
                         s = s[np.argsort(np.where(h[place] == s, rank[place], 0), kind="stable")]
                     firsts.append(s[: len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1].tobytes())
                 d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary())], names=["id", "d0", "d1", "n", "first"])
+                q = np.frombuffer(b"".join(parities), np.int64).reshape(-1, 2)
+                halves = [pa.array(v[:, k].copy()) for v in (d, q) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *halves[:2], pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary()), *halves[2:]], names=["id", "d0", "d1", "n", "first", "p0", "p1"])
 
     return run
 
@@ -373,14 +376,19 @@ def _met(batches):
 
 
 def _candidates(least: float):
-    """Rows sorted by cell (h, i, j) become the pairs of block i with block j whose labels differ and whose sets can still be similar."""
+    """Rows sorted by cell (h, i, j) become the pairs of block i with block j whose labels differ and whose sets can still be similar.
+
+    A shingle that one set alone has turns one place of the parities, so they differ in no more places than the sets do in shingles; sets at
+    ``least`` differ in a share (1 - least) / (1 + least) of both sizes at most.  So no similar pair is left out."""
 
     def emit(c, x, y):
-        _, _, _, own, ids, at, n, label = c
+        _, _, _, own, ids, at, n, label, p0, p1 = c
         apart = (label[x] != label[y]) & (own[x] == c[1][x]) & (own[y] == c[2][x]) & ((c[1][x] != c[2][x]) | (ids[x] < ids[y]))
         x, y = x[apart], y[apart]
         left = np.minimum(n[x] - at[x], n[y] - at[y])  # if no earlier shingle is shared, as many can be at most
         x, y = (v[left * (1 + least) >= least * (n[x] + n[y]) - 1e-6] for v in (x, y))
+        turned = sum(np.bitwise_count((p[x] ^ p[y]).view(np.uint64)).astype(np.int64) for p in (p0, p1))
+        x, y = (v[turned * (1 + least) <= (1 - least) * (n[x].astype(np.int64) + n[y]) + 1e-6] for v in (x, y))
         return np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y])
 
     def pairs(c):
@@ -429,14 +437,14 @@ def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark, "verified")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     shared = spark.sparkContext.broadcast(_common_shingles(src, shingle))  # COMMON at most
-    every = scratch.save(src.mapInArrow(_prefixes(shingle, least, shared), "id long, d0 long, d1 long, n int, first binary"), "prefixes")
+    every = scratch.save(src.mapInArrow(_prefixes(shingle, least, shared), "id long, d0 long, d1 long, n int, first binary, p0 long, p1 long"), "prefixes")
     classes = scratch.save(every.groupBy("d0", "d1").agg(F.min("id").alias("id")).filter("id is not null"), "classes")
-    one = scratch.save(every.join(classes, ["id", "d0", "d1"], "left_semi").select("id", "n", "first"), "firsts")
+    one = scratch.save(every.join(classes, ["id", "d0", "d1"], "left_semi").select("id", "n", "first", "p0", "p1"), "firsts")
     prints = scratch.save(every.select("id", "d0", "d1"), "digests")
     scratch.drop(every)
     members = one.agg(F.sum(F.length("first"))).head()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-members // (8 * A_TASK)))
-    packed = one.mapInArrow(_dealt(4 * parts, shared), "part int, members binary")
+    packed = one.select("id", "n", "first").mapInArrow(_dealt(4 * parts, shared), "part int, members binary")
     if shared.value[0].size:
         packed = scratch.save(packed, "packed")
         common = packed.filter("part < 0").mapInArrow(_unpacked, "h long, id long, at int, n int")
@@ -482,9 +490,9 @@ def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if found.limit(1).count() == 0:
             break
     blocks = F.ceil(F.col("size") / block).cast("int")
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = rows.join(one.select("id", "p0", "p1"), "id").withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     keys = ["h", "i", "j"]
-    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "at", "n", "label")
+    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "at", "n", "label", "p0", "p1")
     found = confirm(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_candidates(least), "a long, b long"))
     links = found if links is None else links.unionByName(found)
     nodes = connected_components(links, scratch)
