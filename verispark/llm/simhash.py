@@ -34,6 +34,8 @@ SEED = 42
 #: CROWD texts are first joined by stars, in so many rounds, and dealt in blocks of BLOCK.
 SAMPLED, COMMON = 32, 100_000
 CROWD, ROUNDS, BLOCK = 64, 3, 1024
+#: Places in which the parity of a set's shingles is kept; a power of two.  More places tell more sets apart before they are compared.
+PLACES = 512
 #: Rows of a task at most, on average: classes that become fifteen rows, members of 24 bytes.
 A_TASK = 2_000_000
 
@@ -295,7 +297,7 @@ def _common_shingles(src: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(k: int, least: float, shared):
-    """id, digest of the set of shingles in two halves, its size, its first shingles in the common order, and the parity of its shingles in 128 places.
+    """id, digest of the set of shingles in two halves, its size, its first shingles in the common order, and the parity of its shingles in PLACES places.
 
     Of two sets at ``least`` or more, each has one of the other's among so many first ones."""
 
@@ -309,15 +311,14 @@ def _prefixes(k: int, least: float, shared):
                     s = np.unique(_hashes(_shingles(t or b"", k)))
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sizes.append(len(s))
-                    parities.append(np.packbits((np.bincount((s & np.uint64(127)).astype(np.int64), minlength=128) & 1).astype(np.uint8)).tobytes())
+                    parities.append(np.packbits((np.bincount((s & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES) & 1).astype(np.uint8)).tobytes())
                     if len(h):
                         place = np.minimum(np.searchsorted(h, s), len(h) - 1)
                         s = s[np.argsort(np.where(h[place] == s, rank[place], 0), kind="stable")]
                     firsts.append(s[: len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1].tobytes())
                 d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                q = np.frombuffer(b"".join(parities), np.int64).reshape(-1, 2)
-                halves = [pa.array(v[:, k].copy()) for v in (d, q) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([b.column(0), *halves[:2], pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary()), *halves[2:]], names=["id", "d0", "d1", "n", "first", "p0", "p1"])
+                halves = [pa.array(d[:, k].copy()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *halves, pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary()), pa.array(parities, pa.binary())], names=["id", "d0", "d1", "n", "first", "parity"])
 
     return run
 
@@ -382,12 +383,12 @@ def _candidates(least: float):
     ``least`` differ in a share (1 - least) / (1 + least) of both sizes at most.  So no similar pair is left out."""
 
     def emit(c, x, y):
-        _, _, _, own, ids, at, n, label, p0, p1 = c
+        _, _, _, own, ids, at, n, label, parity = c
         apart = (label[x] != label[y]) & (own[x] == c[1][x]) & (own[y] == c[2][x]) & ((c[1][x] != c[2][x]) | (ids[x] < ids[y]))
         x, y = x[apart], y[apart]
         left = np.minimum(n[x] - at[x], n[y] - at[y])  # if no earlier shingle is shared, as many can be at most
         x, y = (v[left * (1 + least) >= least * (n[x] + n[y]) - 1e-6] for v in (x, y))
-        turned = sum(np.bitwise_count((p[x] ^ p[y]).view(np.uint64)).astype(np.int64) for p in (p0, p1))
+        turned = sum(np.bitwise_count(p[x] ^ p[y]).astype(np.int64) for p in parity.T)
         x, y = (v[turned * (1 + least) <= (1 - least) * (n[x].astype(np.int64) + n[y]) + 1e-6] for v in (x, y))
         return np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y])
 
@@ -412,7 +413,8 @@ def _candidates(least: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c = [col.to_numpy(zero_copy_only=False) for col in batch.columns]
+            c = [col.to_numpy(zero_copy_only=False) for col in batch.columns[:-1]]
+            c.append(np.frombuffer(b"".join(batch.columns[-1].to_pylist()), np.uint64).reshape(batch.num_rows, -1))
             c = [np.r_[x, y] for x, y in zip(held, c, strict=True)] if held else c
             cut = int(np.flatnonzero(np.any([k != k[-1] for k in c[:3]], axis=0)).max(initial=-1)) + 1
             held = [x[cut:] for x in c]
@@ -437,9 +439,9 @@ def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark, "verified")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     shared = spark.sparkContext.broadcast(_common_shingles(src, shingle))  # COMMON at most
-    every = scratch.save(src.mapInArrow(_prefixes(shingle, least, shared), "id long, d0 long, d1 long, n int, first binary, p0 long, p1 long"), "prefixes")
+    every = scratch.save(src.mapInArrow(_prefixes(shingle, least, shared), "id long, d0 long, d1 long, n int, first binary, parity binary"), "prefixes")
     classes = scratch.save(every.groupBy("d0", "d1").agg(F.min("id").alias("id")).filter("id is not null"), "classes")
-    one = scratch.save(every.join(classes, ["id", "d0", "d1"], "left_semi").select("id", "n", "first", "p0", "p1"), "firsts")
+    one = scratch.save(every.join(classes, ["id", "d0", "d1"], "left_semi").select("id", "n", "first", "parity"), "firsts")
     prints = scratch.save(every.select("id", "d0", "d1"), "digests")
     scratch.drop(every)
     members = one.agg(F.sum(F.length("first"))).head()[0] or 0
@@ -466,13 +468,20 @@ def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return out
 
     def labelled(links: DataFrame | None) -> DataFrame:
-        """Members of the buckets that hold more than one component, with the size of the bucket."""
+        """Members of the buckets that hold more than one component, with the size of the bucket.
+
+        A member stays if the bucket has sets of a size that can be similar to its own, with as many shingles left from this one on."""
         rows = met.withColumn("label", F.col("id"))
         if links is not None:
             rows = met.join(connected_components(links, scratch).withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
         rows = scratch.save(rows, "labelled")
-        mixed = rows.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("h", "size")
-        out = scratch.save(rows.join(mixed, "h"), "mixed")
+        left = F.col("n") - F.col("at")
+        sizes = [F.min("n").alias("fewest"), F.max("n").alias("most"), F.sum("n").alias("total"), F.min(left).alias("left")]
+        mixed = rows.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), *sizes).filter("low < high")
+        two = (F.col("size") > 2) | (F.col("left") * (1 + least) >= F.col("total") * least - 1e-6)
+        mixed = mixed.filter(two).select("h", "size", "fewest", "most")
+        fits = (F.col("most") >= F.col("n") * least - 1e-6) & (left * (1 + least) >= (F.col("n") + F.greatest("fewest", F.col("n") * least)) * least - 1e-6)
+        out = scratch.save(rows.join(mixed, "h").filter(fits).select(*rows.columns, "size"), "mixed")
         scratch.drop(rows)
         return out
 
@@ -490,9 +499,9 @@ def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if found.limit(1).count() == 0:
             break
     blocks = F.ceil(F.col("size") / block).cast("int")
-    dealt = rows.join(one.select("id", "p0", "p1"), "id").withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = rows.join(one.select("id", "parity"), "id").withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     keys = ["h", "i", "j"]
-    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "at", "n", "label", "p0", "p1")
+    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "at", "n", "label", "parity")
     found = confirm(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_candidates(least), "a long, b long"))
     links = found if links is None else links.unionByName(found)
     nodes = connected_components(links, scratch)
