@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from verispark.functions import copy_lint, injection, output_gate, pii, scores, text, vectors, watermark
 from verispark.operators import bias, classify, dossier, drift, gate, guard, ledger, quality, remediation, report, vendor
 from verispark.plans import samples
-from verispark.sources.documents import chunks, snapshots, table
+from verispark.sources.documents import chunks, snapshots, spread, table
 
 QUERIES: dict = {}
 
@@ -248,11 +248,11 @@ def drift_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 def _calls(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as invocations: an answer is a call, charged with the tokens of the turn before it."""
-    t = table(spark, sf, "conversations")
+    t = spread(table(spark, sf, "conversations"), "conv_id")
     asked = t.filter("role != 'assistant'").select("conv_id", (F.col("turn") + 1).alias("turn"), text.token_estimate(F.col("text")).cast("long").alias("prompt_tokens"))
     rows = t.filter("role = 'assistant'").join(asked, ["conv_id", "turn"], "left")
-    found = injection.matches(F.col("text"))
-    out = output_gate.check_output(F.col("text"))
+    rows = rows.withColumns({"found": injection.matches(F.col("text")), "out": output_gate.check_output(F.col("text"))})
+    found, out = F.col("found"), F.col("out")
     act = F.when(F.exists(out, lambda g: g["action"] == "block"), "block").when(F.size(out) > 0, "flag").otherwise("pass")
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
     return rows.select(
@@ -265,7 +265,7 @@ def _calls(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def injection_scan(spark: SparkSession, sf: str) -> DataFrame:
-    rows = injection.scan(table(spark, sf, "conversations"), "text")
+    rows = injection.scan(spread(table(spark, sf, "conversations")), "text")
     return rows.select("conv_id", "turn", "action", F.size("matches").cast("long").alias("matches"))
 
 
@@ -273,7 +273,7 @@ def injection_scan(spark: SparkSession, sf: str) -> DataFrame:
 def document_scan(spark: SparkSession, sf: str) -> DataFrame:
     """The documents and a few that hold injections, plain and encoded."""
     planted = spark.createDataFrame(samples.INJECTED, "doc_id long, text string")
-    return injection.scan_documents(table(spark, sf, "documents").select("doc_id", "text").unionByName(planted), "doc_id", "text")
+    return injection.scan_documents(spread(table(spark, sf, "documents").select("doc_id", "text")).unionByName(planted), "doc_id", "text")
 
 
 @query
@@ -307,13 +307,13 @@ def day_budget_breaches(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def guarded_replay(spark: SparkSession, sf: str) -> DataFrame:
-    return guard.replay(table(spark, sf, "conversations"))
+    return guard.replay(spread(table(spark, sf, "conversations")))
 
 
 @query
 def watermark_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     day = F.lit("2024-06-01").cast("date")
-    marked = table(spark, sf, "documents").select("doc_id", "text", watermark.mark(F.col("text"), F.concat(F.lit("system-"), F.col("source")), day).alias("marked"))
+    marked = spread(table(spark, sf, "documents").select("doc_id", "text", "source")).select("doc_id", "text", watermark.mark(F.col("text"), F.concat(F.lit("system-"), F.col("source")), day).alias("marked"))
     v = watermark.verify(F.col("marked"))
     return marked.select("doc_id", v["present"].alias("present"), v["tag"].alias("tag"), v["valid"].alias("valid"), (watermark.strip(F.col("marked")) == F.col("text")).alias("stripped"), watermark.content_hash(F.col("text")).alias("content_hash"), F.length("marked").cast("long").alias("marked_length"))
 

@@ -29,9 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """Deals rows over the cores where the input has fewer parts than cores, as a small file of one row group has; any larger input stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, *by) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with the embedding of the same number, where there is one."""
-    docs, vecs = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    docs, vecs = spread(table(spark, sf_dir, "documents"), "doc_id"), table(spark, sf_dir, "embeddings")
     return docs.join(vecs.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id", "left").select(F.col("doc_id").alias("id"), "text", "vector")
 
 
