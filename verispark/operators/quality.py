@@ -51,13 +51,38 @@ def length_stats(chunks: DataFrame) -> DataFrame:
     """One row over the chunks that have a length: min, max, mean, exact median, population deviation; nulls if there are none.
 
     The median counts equal lengths first, so it shuffles distinct lengths only."""
-    sizes = chunks.select(length(F.col("text")).alias("n")).filter("n > 0").groupBy("n").agg(F.count(F.lit(1)).alias("k"))
+    return _size_stats(chunks.select(length(F.col("text")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("k")))
+
+
+def _size_stats(sizes: DataFrame) -> DataFrame:
+    """From lengths n of k chunks each."""
+    n = F.when(F.col("n") > 0, F.col("n"))
+    k = F.when(F.col("n") > 0, F.col("k"))
     return sizes.agg(
-        F.min("n").alias("min_length"), F.max("n").alias("max_length"), (F.sum(F.col("n") * F.col("k")) / F.sum("k")).alias("mean_length"), F.percentile("n", F.lit(0.5), F.col("k")).alias("median_length"),
-        F.sqrt(F.greatest(F.lit(0.0), (F.sum(F.col("n").cast("double") * F.col("n") * F.col("k")) / F.sum("k")) - F.pow(F.sum(F.col("n").cast("double") * F.col("k")) / F.sum("k"), F.lit(2.0)))).alias("stdev_length"),
+        F.min(n).alias("min_length"), F.max(n).alias("max_length"), (F.sum(n * k) / F.sum(k)).alias("mean_length"), F.percentile(n, F.lit(0.5), F.coalesce(k, F.lit(0))).alias("median_length"),
+        F.sqrt(F.greatest(F.lit(0.0), (F.sum(n.cast("double") * n * k) / F.sum(k)) - F.pow(F.sum(n.cast("double") * k) / F.sum(k), F.lit(2.0)))).alias("stdev_length"),
     )
 
 
+def _tally(chunks: DataFrame) -> DataFrame:
+    """One row: total, empty, near_empty, orphans, duplicate_chunks, short, oversized, dimensions.
+
+    Chunks alike in all of these are counted once, in one pass over the texts; the parts read that exchange again, so no filter may reach below it."""
+    keys = ["length", "empty", "near_empty", "orphan", "fingerprint"]
+    rows = _flags(chunks.select("id", "text", "vector")).drop("id")
+    dims = chunks.select(F.coalesce(F.size("vector"), F.lit(-1)).alias("dimension")).groupBy("dimension").agg(F.count(F.lit(1)).alias("k"))
+    alike = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"))
+    n = lambda c: F.coalesce(F.sum(F.when(F.col(c), F.col("k"))), F.lit(0))
+    counts = alike.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("total"), n("empty").alias("empty"), n("near_empty").alias("near_empty"), n("orphan").alias("orphans"))
+    copies = alike.groupBy("fingerprint").agg((F.sum("k") - 1).alias("more")).agg(F.coalesce(F.sum(F.when(F.col("fingerprint").isNotNull(), F.col("more"))), F.lit(0)).alias("duplicate_chunks"))
+    sizes = alike.groupBy(F.col("length").alias("n")).agg(F.sum("k").alias("k"))
+    median = F.broadcast(_size_stats(sizes).select("median_length"))  # one row, as the others
+    out = lambda when: F.coalesce(F.sum(F.when((F.col("n") > 0) & when, F.col("k"))), F.lit(0))
+    odd = sizes.crossJoin(median).agg(out(F.col("n") < F.col("median_length") * SHORT).alias("short"), out(F.col("n") > F.col("median_length") * LONG).alias("oversized"))
+    held = dims.agg(F.count(F.when(F.col("dimension") > 0, F.lit(1))).alias("dimensions"))
+    return counts.crossJoin(F.broadcast(copies)).crossJoin(F.broadcast(odd)).crossJoin(F.broadcast(held))
+
+
 def length_outliers(chunks: DataFrame) -> DataFrame:
     """id, length, kind (short or long) of the chunks below a quarter of the median or above four times it."""
     sized = chunks.select("id", length(F.col("text")).alias("length")).filter("length > 0")
@@ -94,13 +119,15 @@ def near_duplicates(chunks: DataFrame, least: float = NEAR_DUPLICATE, sample: in
 
     Of chunks with the same fingerprint the first stands for all; its copies are the rows of the duplicate groups. With ``sample`` only so many chunks
     are compared.  The join is exact: two sets this similar share one of their rarest shingles, so only the rarest
-    ``n - ceil(least * n) + 1`` of each chunk are joined, then whole sets are compared."""
-    rows = chunks.select("id", "text").filter(stripped(F.col("text")) != "")
+    ``n - ceil(least * n) + 1`` of each chunk are joined, then whole sets are compared.  Words are split once a text, and the sets are dealt by id
+    once: what counts shingles, ranks them and compares whole sets reads the same exchange."""
+    rows = chunks.select("id", "text").filter(F.col("id").isNotNull() & (stripped(F.col("text")) != ""))
     if sample:
         rows = systematic_sample(rows, sample)
     first = rows.withColumn("fp", fingerprint(F.col("text"))).groupBy("fp").agg(F.min(F.struct("id", "text")).alias("r")).select("r.id", "r.text")
-    hashed = F.transform(shingles(blank_words(F.col("text"))), lambda s: F.xxhash64(s))
-    sets = first.select("id", F.array_distinct(hashed).alias("set")).withColumn("n", F.size("set")).filter("n > 0")
+    hashed = F.transform(shingles(F.col("words")), lambda s: F.xxhash64(s))
+    cut = first.select("id", blank_words(F.col("text")).alias("words"))
+    sets = cut.select("id", F.array_distinct(hashed).alias("set")).repartition("id").withColumn("n", F.size("set"))
     grams = sets.select("id", "n", F.explode("set").alias("gram"))
     often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     ranked = grams.join(often, "gram", "left").select("id", "n", "gram", F.coalesce("df", F.lit(1)).alias("df"))
@@ -116,11 +143,7 @@ def near_duplicates(chunks: DataFrame, least: float = NEAR_DUPLICATE, sample: in
 
 def quality_score(chunks: DataFrame) -> DataFrame:
     """One row: the four parts, whether mixed dimensions cap the score at 40, and the score; null over no chunks."""
-    counts = quality_counts(chunks)
-    dup = duplicate_summary(chunks)
-    sized = length_outliers(chunks).agg(F.count(F.lit(1)).alias("outliers"))
-    dims = dimension_histogram(chunks).agg(F.count(F.lit(1)).alias("dimensions"))
-    row = counts.crossJoin(F.broadcast(dup)).crossJoin(F.broadcast(sized)).crossJoin(F.broadcast(dims))  # one row each
+    row = _tally(chunks).withColumn("outliers", F.col("short") + F.col("oversized"))
     n = F.greatest(F.col("total"), F.lit(1))
     part = lambda bad: score_from_ratio(1 - bad / n, 1.0, None)
     parts = row.select(
@@ -134,9 +157,7 @@ def quality_score(chunks: DataFrame) -> DataFrame:
 
 def quality_findings(chunks: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """check, severity, action, article, count: one row for each condition that holds."""
-    counts = quality_counts(chunks)
-    row = counts.crossJoin(duplicate_summary(chunks)).crossJoin(length_outliers(chunks).filter("kind = 'long'").agg(F.count(F.lit(1)).alias("oversized")))
-    row = row.crossJoin(dimension_histogram(chunks).agg(F.count(F.lit(1)).alias("dimensions"))).crossJoin(pii_chunks(chunks).agg(F.count(F.lit(1)).alias("personal")))
+    row = _tally(chunks).crossJoin(pii_chunks(chunks).agg(F.count(F.lit(1)).alias("personal")))
     row = row.crossJoin((near if near is not None else near_duplicates(chunks)).agg(F.count(F.lit(1)).alias("near")))
 
     def one(check: str, severity: Column | str, action: str, article: str | None, count: str, when: Column) -> Column:
