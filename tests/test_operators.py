@@ -488,3 +488,13 @@ def test_artefacts_are_written(spark, tmp_path):
     lines = ledger.lines(spark, path)
     made = ledger.write_pack(ledger.entries(lines).filter("parsed"), lines, str(tmp_path / "pack"))
     assert json.loads(open(made[1]).read())["pack"]["fit_to_hand_over"] and "| 9.1 | 1 |" in open(made[0]).read()
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None), ("a", "x " * 40, [1.0]), ("b", " X  " + "x " * 39, [1.0, 2.0]), ("b", "", []), ("c", "y" * 2000, None), ("d", "short", [1.0]), (None, " ", [3.0])]])
+def test_the_tally_agrees_with_the_operators_it_merges(spark, rows):
+    df = spark.createDataFrame(rows, "id string, text string, vector array<double>")
+    r, c, d = quality._tally(df).head(), quality.quality_counts(df).head(), quality.duplicate_summary(df).head()
+    assert [r[k] for k in ("total", "empty", "near_empty", "orphans")] == [c[k] for k in ("total", "empty", "near_empty", "orphans")]
+    kinds = [x["kind"] for x in quality.length_outliers(df).collect()]
+    assert (r["duplicate_chunks"], r["short"], r["oversized"]) == (d["duplicate_chunks"], kinds.count("short"), kinds.count("long"))
+    assert r["dimensions"] == quality.dimension_histogram(df).count()
