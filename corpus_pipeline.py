@@ -25,7 +25,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; links are confirmed on five-word shingles at a similarity of 0.8."""
+    """One document of each group stays.  Links of SimHash fingerprints, and then what a prefix filter adds, are confirmed on five-word shingles at a similarity of 0.8."""
     return simhash.one_of_each(docs, simhash.verified_duplicates(docs))
 
 

@@ -275,3 +275,36 @@ def test_no_pair_near_the_threshold_is_missed(spark):
     _, pairs = similar_components(rows)
     got = {r["doc_id"]: r["component_id"] for r in simhash.verified_duplicates(docs(spark, rows)).collect()}
     assert sum(s < 0.85 for _, _, s in pairs) > 30 and [got[i] == got[j] for i, j, _ in pairs] == [True] * len(pairs)
+
+
+def test_fingerprints_link_near_copies_before_any_other_step(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "ROUNDS", 0)
+    monkeypatch.setattr(simhash, "_candidates", lambda least: lambda batches: (x for b in batches for x in ()))
+    rng = random.Random(41)
+    rows = []
+    for i in range(60):
+        base = ["w%d" % rng.randint(1, 2000) for _ in range(rng.randint(100, 400))]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base[:50], "edited", *base[51:]]))]
+    tails = [" ".join("%s%d" % (x, k) for k in range(12)) for x in "uv"]
+    rows += [(500, "p q r " * 80 + tails[0]), (501, "p q r " * 80 + tails[1])]
+    prints = {i: brute_print(t, 3, 42) for i, t in rows}
+    near = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3
+    linked = [i for i in range(0, 120, 2) if near(i, i + 1)]
+    assert 20 < len(linked) < 60 and near(500, 501) and jaccard(rows[-2][1], rows[-1][1]) < 0.8
+    got = {r["doc_id"]: r["component_id"] for r in simhash.verified_duplicates(docs(spark, rows)).collect()}
+    assert got == {i: i - 1 if i % 2 and i - 1 in linked else i for i, _ in rows}
+
+
+def test_a_sieve_passes_all_its_ids_and_few_others(spark):
+    scratch = simhash.Scratch(spark, "sieve")
+    ids = scratch.save(spark.range(-3000, 3000).unionByName(spark.createDataFrame([(None,)], "id long")), "ids")
+    shared = spark.sparkContext.broadcast(simhash._sieve(ids.filter("id is null or id % 3 = 0")))
+    got = [{r["id"] for r in ids.select("id", simhash._slot()).mapInArrow(simhash._sifted(shared, p), "id long").collect()} for p in (True, False)]
+    own = {None, *range(-3000, 3000, 3)}
+    assert own <= got[0] and len(got[0]) < len(own) + 20 and got[1] == {None, *range(-3000, 3000)} - got[0]
+
+
+def test_members_come_back_as_they_were_packed():
+    m = np.zeros(7, simhash._MEMBER)
+    m["h"], m["id"], m["at"], m["n"] = np.arange(7, dtype=np.uint64) << np.uint64(61), np.arange(7) - 3, range(7), 1 << np.arange(7)
+    assert (simhash._members(simhash._packed_members(m)) == m).all()
