@@ -308,3 +308,28 @@ def test_members_come_back_as_they_were_packed():
     m = np.zeros(7, simhash._MEMBER)
     m["h"], m["id"], m["at"], m["n"] = np.arange(7, dtype=np.uint64) << np.uint64(61), np.arange(7) - 3, range(7), 1 << np.arange(7)
     assert (simhash._members(simhash._packed_members(m)) == m).all()
+
+
+def test_components_of_few_edges_are_written_to_few_files(spark, monkeypatch, tmp_path):
+    from verispark.llm import components
+    from verispark.llm.common import Scratch
+
+    written, save = [], Scratch.save
+
+    def counted(self, df, tag, by=None):
+        out = save(self, df, tag, by)
+        written.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        edges = spark.createDataFrame([(i, i - 1) for i in range(1, 200) if i % 10], "a long, b long")
+        got = {r["node"]: r["component"] for r in components.connected_components(edges, Scratch(spark, "few")).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got == {i: i // 10 * 10 for i in range(200) if i % 10}
+    assert len(written) > 4 and max(written[1:]) <= components.FILES

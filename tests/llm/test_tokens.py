@@ -182,3 +182,18 @@ def test_queries_give_the_ids_of_a_plain_call(spark, tmp_path):
     assert got == {i: crc(queries.BYTE_FILE, t, queries.BYTE_END) for i, t in enumerate(TOLD)}
     for packed in (queries.op7_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, d, "")):
         assert {r["doc_id"]: r["ids_crc32"] for r in packed.collect()} == {i: crc(queries.WORD_FILE, t, queries.WORD_END) for i, t in enumerate(TOLD)}
+
+
+def test_an_encoder_is_let_go():
+    import weakref
+
+    from verispark.llm import memo_encoder
+    from verispark.llm.queries import WORD_FILE, tokenizer_path
+
+    enc = memo_encoder.shared(tokenizer_path(WORD_FILE))
+    enc.encode(["some words"])
+    gone = weakref.ref(enc)
+    del enc
+    memo_encoder.release()
+    assert gone() is None and not memo_encoder._SHARED
+    assert len(memo_encoder.shared(tokenizer_path(WORD_FILE)).encode(["some words"])[0])

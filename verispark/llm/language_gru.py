@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verispark.llm.common import fresh
+from verispark.llm.memo_encoder import release
 
 SAMPLE = 400
 SPOTS = 6
@@ -238,6 +239,7 @@ def _accepted(shared, window: int, at: int, least: float):
     label = _label(shared, window)
 
     def run(batches):
+        release()
         for b in batches:
             asked = pa.RecordBatch.from_arrays([pa.array(range(b.num_rows), pa.int64()), b.column(at), b.column(b.num_columns - 1)], names=["id", "text", "letters"])
             (got,) = label([asked])

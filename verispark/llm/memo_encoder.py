@@ -11,6 +11,8 @@ is filled up to ``most`` pieces; later pieces are remembered for one batch, so m
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import unicodedata
@@ -233,6 +235,17 @@ _SHARED: dict[tuple[str, bool], MemoEncoder] = {}
 def shared(path: str, added: bool = False) -> MemoEncoder:
     """The encoder of this process for a file; Spark reuses its Python workers, so later tasks find what earlier ones learned."""
     if (path, added) not in _SHARED:
-        _SHARED.clear()  # one at a time
+        release()  # one at a time
         _SHARED[path, added] = MemoEncoder(path, added=added)
     return _SHARED[path, added]
+
+
+def release() -> None:
+    """Lets go of the encoder that earlier tasks left in this process and gives its memory back, so that the next operator has room."""
+    if not _SHARED:
+        return
+    _SHARED.clear()
+    gc.collect()  # an encoder and its pieces refer to each other
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
