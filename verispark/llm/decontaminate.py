@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verispark.llm.common import Scratch
+from verispark.llm.workers import thrifty
 
 SHINGLE = 5
 LEAST = 0.8
@@ -222,5 +223,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
         if n:
             docs = scratch.save(docs, "block")
         shared = spark.sparkContext.broadcast(block)  # BLOCK_CHARS and one item at most
-        docs = docs.mapInArrow(_without(docs.columns.index(text_col), uuid.uuid4().hex, shared, shingle, radius, least), docs.schema)
+        docs = docs.mapInArrow(thrifty(_without(docs.columns.index(text_col), uuid.uuid4().hex, shared, shingle, radius, least)), docs.schema)
     return docs

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from verispark.llm.common import fresh
 from verispark.llm.memo_encoder import release
+from verispark.llm.workers import thrifty
 
 SAMPLE = 400
 SPOTS = 6
@@ -256,4 +257,4 @@ def drop_rejected(docs: DataFrame, model: tuple, text_col: str = "text", least:
     Each row is judged by its own text, so null and repeated ids make no difference.  Without languages to learn from, rows with a letter stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few kilobytes
     asked = docs.withColumn(fresh(docs, "letters"), F.coalesce(F.rlike(F.col(text_col), F.lit(LETTER)), F.lit(False)))
-    return asked.mapInArrow(_accepted(shared, window, docs.columns.index(text_col), least), docs.schema)
+    return asked.mapInArrow(thrifty(_accepted(shared, window, docs.columns.index(text_col), least)), docs.schema)

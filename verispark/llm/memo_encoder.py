@@ -11,7 +11,6 @@ is filled up to ``most`` pieces; later pieces are remembered for one batch, so m
 
 from __future__ import annotations
 
-import ctypes
 import gc
 import os
 import re
@@ -21,6 +20,8 @@ from array import array
 import numpy as np
 import regex
 
+from verispark.llm.workers import give_back
+
 #: The split of byte-level files and of word files, as the files and the library state them (fixed values).
 BYTE_LEVEL_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
@@ -246,6 +247,4 @@ def release() -> None:
         return
     _SHARED.clear()
     gc.collect()  # an encoder and its pieces refer to each other
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
-    if trim:
-        trim(0)
+    give_back()

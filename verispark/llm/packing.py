@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 from verispark.llm.common import Scratch
 from verispark.llm.memo_encoder import shared
 from verispark.llm.token_files import _batches_of_texts
+from verispark.llm.workers import thrifty
 
 LENGTH = 2048
+#: Characters of the texts that are encoded together: four times as many give the same ids in the same time and hold 60 MB more.
+TOGETHER = 1 << 19
 #: Pieces of one length that share a bucket when they are ranked.
 RANKED_TOGETHER = 20_000
 
@@ -71,7 +74,7 @@ def sweep_plan(counts: dict[int, int], capacity: int = LENGTH) -> tuple[list[tup
 def _pieces(path: str, end_id: int, capacity: int, with_ids: bool, added: bool):
     def run(batches):
         enc = None
-        for ids, texts in _batches_of_texts(batches):
+        for ids, texts in _batches_of_texts(batches, TOGETHER):
             enc = enc or shared(path, added)
             flat, counts = enc.encode(texts)
             out = ([], [], [], [], [], [])
@@ -104,7 +107,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
     scratch = Scratch(spark, "packing")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    pieces = scratch.save(src.mapInArrow(_pieces(tokenizer, end_id, capacity, with_ids, added), schema), "pieces")
+    pieces = scratch.save(src.mapInArrow(thrifty(_pieces(tokenizer, end_id, capacity, with_ids, added)), schema), "pieces")
     lengths = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["length"]: r["n"] for r in lengths.collect()}  # at most one row for each length up to capacity
     plan, _ = sweep_plan(counts, capacity)
